@@ -36,3 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a context; jobs whose functions run there call it first."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    root = Path(__file__).parent
+    if getattr(context, "_lodegraph_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="lodegraph-code-")) / "lodegraph.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._lodegraph_shipped = True
