@@ -1,2 +1,25 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the problems on texts, and their SQL where there is one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodegraph.llm.packing import pack
+from lodegraph.llm.tokenize import token_counts, token_ids
+from lodegraph.session import table
+
+CAPACITY = 2048
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    counts = token_counts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return pack(counts, "doc_id", "n_tokens", CAPACITY)
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers}
+ORACLES: dict[str, str] = {}
