@@ -9,6 +9,7 @@ from lodegraph.llm.near_duplicates import near_duplicates
 from lodegraph.llm.packing import pack
 from lodegraph.llm.set_joins import normal_values, set_similarity_join
 from lodegraph.llm.similar import expand, links_of, newest
+from lodegraph.llm.spam import spam_pages
 from lodegraph.llm.tokenize import token_counts, token_ids
 from lodegraph.session import table
 
@@ -52,6 +53,10 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(counts, "doc_id", "n_tokens", CAPACITY)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(table(spark, d, "documents"), table(spark, d, "page_labels")).select("doc_id")
+
+
 _SIMILAR = """,
 o AS (SELECT x.node_id AS a, y.node_id AS b, count(*) AS n FROM s x JOIN s y ON x.v = y.v AND x.node_id < y.node_id GROUP BY ALL),
 k AS (SELECT node_id, count(*) AS n FROM s GROUP BY node_id),
@@ -83,7 +88,7 @@ s AS (SELECT * FROM f WHERE node_id IN (SELECT node_id FROM f GROUP BY node_id H
     + _SIMILAR
 )
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p5_found": p5_found, "p5_links": p5_links, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p5_found": p5_found, "p5_links": p5_links, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLES: dict[str, str] = {
     "p2_found": _P2 + "SELECT * FROM p",
     "p2_links": _P2 + _LINKS,
