@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.plans import problems
+from lodegraph.plans import graph_queries, problems, search_queries
 
-MODULES = [problems]
+MODULES = [search_queries, graph_queries, problems]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracles() -> dict:
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return problems.p4_found(spark, directory)
+    return search_queries.QUERIES["fts_search_or"](spark, directory)
