@@ -70,11 +70,11 @@ def title_of(path: Column) -> Column:
 
 def join_canonical(values: Column) -> Column:
     """Trimmed, non-empty, sorted, joined by commas."""
-    return F.array_join(F.array_sort(F.filter(F.transform(values, F.trim), lambda v: v != "")), ",")
+    return F.array_join(F.array_sort(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")), ",")
 
 
 def split_canonical(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def name_tokens(text: Column) -> Column:
