@@ -65,9 +65,9 @@ def snippet(text: str | None, wanted: list[list[str]], size: int = 12, mark: str
     start = 0
     if first is not None:
         start = max(0, first - (size - 1) // 2)
-        for i in range(max(0, first - size + 1), first + 1):
-            gap = text[spans[i - 1][1] : spans[i][0]] if i else ""
-            if i and re.search(r"[.:]\s", gap):
+        for i in range(first, max(-1, first - size), -1):
+            # The last sentence that starts before the hit begins the window if it still holds the hit.
+            if i == 0 or re.search(r"[.:]\s+$", text[spans[i - 1][1] : spans[i][0]]):
                 start = i
                 break
         start = max(0, min(start, len(words) - size))

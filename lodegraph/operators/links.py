@@ -93,6 +93,10 @@ def inline_tags(notes: DataFrame) -> DataFrame:
     return notes.select("rel_path", F.explode(F.array_distinct(F.transform(found, F.lower))).alias("tag"))
 
 
+def is_json(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
 def canvas_edges(canvases: DataFrame, nodes: DataFrame) -> DataFrame:
     """from_id, to_id of the file nodes of canvases (rel_path, text) that lead to a note, canvas or attachment; a canvas that isn't valid JSON gives none."""
     parsed = canvases.select("rel_path", F.from_json("text", CANVAS).alias("c"))
