@@ -10,7 +10,7 @@ BLOCK = 256
 
 def newest(df: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:
     """The newest row of each key by ``version`` (null is the oldest); of equals the greatest in ``columns``. Null keys are left aside."""
-    picked = F.max(F.struct(df[version].alias("v"), *[df[c].alias(c) for c in columns]))
+    picked = F.max(F.struct(df[version].alias("_version"), *[df[c].alias(c) for c in columns]))
     return df.where(df[key].isNotNull()).groupBy(df[key].alias("node_id")).agg(picked.alias("r")).select("node_id", *[f"r.{c}" for c in columns])
 
 

@@ -2,7 +2,8 @@
 
 Each text gives shares of its characters by kind of line (bare links, tags, product labels, repeated keywords, prose) and
 measures of entropy, repetition and function words. By language a robust centre (medians) and a robust scatter (covariance
-of values wrapped at 2.5 robust deviations) are made over all documents. A page is flagged if its squared distance is
+of values wrapped at 2.5 robust deviations) are made over all documents that are in it by their function words, and once
+more over all documents together, for texts that tell no language and for languages with few documents. A page is flagged if its squared distance is
 beyond a chi-square quantile and it lies in a spam-directed direction: on the far side of a plane over the whitened
 distances, whose direction starts from the definition (bare links, tags, labels and keywords up, prose down) and is
 corrected by reviewed labels as far as there are any.
@@ -38,6 +39,8 @@ NAMES = ["link", "tag", "label", "keyword", "prose", "function", "repeat", "entr
 #: What the definition says of each feature, as the start of the direction; and the share above which a page counts.
 PRIOR = {"link": 9.0, "tag": 9.0, "label": 9.0, "keyword": 9.0, "prose": -2.0, "repeat": 1.5}
 PRIOR_CUT = 3.6
+ALL = "*"  #: the norm over all documents
+FEW = 50  #: a language with fewer documents is judged by the norm over all
 LABELS_MOST = 50_000  #: reviewed pages used at most
 FLOOR = {"link": 0.08, "tag": 0.05, "label": 0.05, "keyword": 0.08, "prose": 0.12, "function": 0.08, "repeat": 0.08, "entropy": 0.04, "distinct": 0.08, "offer": 0.03}
 CHI2 = 29.6  #: the 0.999 quantile of chi-square with ten degrees of freedom
@@ -113,25 +116,29 @@ def features(text: str | None) -> tuple[str, list[float]]:
 
 
 def page_features(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """key, lang and the features of every document with a text that isn't blank. The language is told by the text, else by ``lang`` in any spelling, else ``und``."""
+    """key, lang, told and the features of every document with a text that isn't blank.
+
+    The language is told by the text (then ``told``), else by ``lang`` in any spelling, else it is ALL.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(x) for x in batch.column(1).to_pylist()]
             given = [(x or "").strip().lower()[:2] for x in batch.column(2).to_pylist()]
-            langs = [t or (g if g in FUNCTION_WORDS else "und") for (t, _), g in zip(found, given)]
+            langs = [t or (g if g in FUNCTION_WORDS else ALL) for (t, _), g in zip(found, given)]
             values = np.array([v for _, v in found], float).reshape(len(found), len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), *[pa.array(values[:, i]) for i in range(len(NAMES))]], names=["key", "lang", *NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array([t != "" for t, _ in found], pa.bool_()), *[pa.array(values[:, i]) for i in range(len(NAMES))]], names=["key", "lang", "told", *NAMES])
 
     kind = docs.schema[key].dataType.simpleString()
     some = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")).where(F.col("text").rlike(r"\S"))
-    return some.mapInArrow(run, f"key {kind}, lang string, " + ", ".join(f"{x} double" for x in NAMES))
+    return some.mapInArrow(run, f"key {kind}, lang string, told boolean, " + ", ".join(f"{x} double" for x in NAMES))
 
 
 def robust_model(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Centre and whitening matrix of each language, over all rows of ``table`` (lang and features)."""
-    centres = {r["lang"]: np.array(r["m"]) for r in table.groupBy("lang").agg(F.array(*[F.percentile_approx(x, 0.5, 2000) for x in NAMES]).alias("m")).collect()}
+    """Centre and whitening matrix of each language with documents enough that tell it, and of ALL over all rows of ``table``."""
+    table = table.select(F.explode(F.array_compact(F.array(F.when(F.col("told"), F.col("lang")), F.lit(ALL)))).alias("lang"), *NAMES)
+    centres = {r["lang"]: np.array(r["m"]) for r in table.groupBy("lang").agg(F.array(*[F.percentile_approx(x, 0.5, 2000) for x in NAMES]).alias("m"), F.count(F.lit(1)).alias("n")).collect() if r["n"] >= FEW or r["lang"] == ALL}
     if not centres:
         return {}
     spark = table.sparkSession
@@ -197,7 +204,8 @@ def spam_pages(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     said = labels.where(F.col("label").isin("spam", "ok")).groupBy(F.col(key).alias("key")).agg(F.avg((F.col("label") == "spam").cast("double")).alias("y")).where("y in (0.0, 1.0)")
     taught = table.join(said, "key").orderBy(F.xxhash64("key")).limit(LABELS_MOST).toPandas()
     raw = taught[NAMES].to_numpy(float).reshape(-1, len(NAMES))
-    white = np.array([model[g][1] @ (v - model[g][0]) for g, v in zip(taught["lang"], raw)]).reshape(-1, len(NAMES))
+    norms = [model.get(g) or model[ALL] for g in taught["lang"]]
+    white = np.array([m @ (v - c) for (c, m), v in zip(norms, raw)]).reshape(-1, len(NAMES))
     weights = fit_direction(raw, white, taught["y"].to_numpy(float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +213,9 @@ def spam_pages(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             raw = np.column_stack([batch.column(x).to_numpy() for x in NAMES]) if batch.num_rows else np.zeros((0, len(NAMES)))
             white = np.zeros_like(raw)
             langs = np.array(batch.column("lang").to_pylist())
-            for g, (centre, matrix) in model.items():
-                if (at := langs == g).any():
-                    white[at] = (raw[at] - centre) @ matrix.T
+            for g in set(langs.tolist()):
+                (centre, matrix), at = model.get(g) or model[ALL], langs == g
+                white[at] = (raw[at] - centre) @ matrix.T
             distance, score = (white**2).sum(1), _inputs(raw, white) @ weights
             flag = (distance > CHI2) & (score > 0)
             yield pa.RecordBatch.from_arrays([batch.column("key").filter(pa.array(flag)), pa.array(distance[flag]), pa.array(score[flag])], names=[key, "distance", "score"])
