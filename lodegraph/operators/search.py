@@ -1,7 +1,8 @@
 """Full-text search: a positional inverted index, BM25 ranking, filters, modes, resolution and related items.
 
-An index is two tables: ``postings`` (term, node_id, col, pos) and ``sizes`` (node_id, len). A search reads only the
-postings of its terms; statistics are those of the whole index, whatever the filters.
+An index is two tables: ``postings`` (term, node_id, col, pos) and ``sizes`` (node_id, len). A search over a stored index
+reads only the postings of its terms; one over plain documents counts its phrases in a single pass, without a shuffle.
+Statistics are those of the whole index, whatever the filters.
 """
 
 from __future__ import annotations
@@ -40,6 +41,17 @@ class Index:
     docs: DataFrame
     postings: DataFrame
     sizes: DataFrame
+    stored: bool = False
+
+    def save(self, path: str, files: int = 64) -> None:
+        """Write the index; postings are sorted by term within hash ranges of it, so that a search skips all other row groups."""
+        self.postings.repartition(files, "term").sortWithinPartitions("term", "node_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def load_index(docs: DataFrame, path: str) -> Index:
+    read = docs.sparkSession.read.parquet
+    return Index(docs, read(f"{path}/postings"), read(f"{path}/sizes"), True)
 
 
 def parse_mode(text: str) -> str:
@@ -47,15 +59,23 @@ def parse_mode(text: str) -> str:
     return text.lower() if text.lower() in MODES else "hybrid"
 
 
-def build_index(docs: DataFrame) -> Index:
-    """The index of documents with the columns COLUMNS; lists are indexed by their values, nulls as empty."""
+def _split(docs: DataFrame) -> DataFrame:
+    """node_id and the tokens of each column; lists count by their values, nulls as empty."""
     def text(c: str) -> Column:
         plain = F.array_join(c, " ") if docs.schema[c].dataType.typeName() == "array" else F.col(c)
         return tokens(F.coalesce(plain, F.lit("")))
 
-    # One stack of (column, tokens) a document: sizes and postings both come from it without a shuffle.
-    split = docs.select("node_id", F.array(*[text(c) for c in COLUMNS]).alias("t"))
-    sizes = split.select("node_id", F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x)).alias("len"))
+    return docs.select("node_id", F.array(*[text(c) for c in COLUMNS]).alias("t"))
+
+
+def _len() -> Column:
+    return F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x)).alias("len")
+
+
+def build_index(docs: DataFrame) -> Index:
+    """The index of documents with the columns COLUMNS."""
+    split = _split(docs)
+    sizes = split.select("node_id", _len())
     postings = split.select("node_id", F.posexplode("t").alias("col", "w")).select("node_id", "col", F.posexplode("w").alias("pos", "term"))
     return Index(docs, postings.select("term", "node_id", "col", "pos"), sizes)
 
@@ -73,19 +93,38 @@ def phrase_hits(index: Index, wanted: list[list[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def occurrences(index: Index, wanted: list[list[str]]) -> DataFrame:
+    """node_id, len, f (array): how often each phrase occurs in every document of the index."""
+    def count(phrase: list[str]) -> Column:
+        k, p = len(phrase), F.array(*map(F.lit, phrase))
+
+        def one(w: Column) -> Column:
+            if k == 1:
+                return F.size(F.filter(w, lambda x: x == phrase[0]))
+            starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+            return F.size(F.filter(starts, lambda i: (F.element_at(w, i) == phrase[0]) & (F.slice(w, i, k) == p)))
+
+        return F.aggregate("t", F.lit(0), lambda n, w: n + one(w))
+
+    if not index.stored:
+        return _split(index.docs).select("node_id", _len(), F.array(*[count(p) for p in wanted]).alias("f"))
+    hits = phrase_hits(index, wanted).groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("phrase", "f"))).alias("m"))
+    f = F.array(*[F.coalesce(F.col("m")[n], F.lit(0)).cast("int") for n in range(len(wanted))])
+    return index.sizes.join(hits, "node_id", "left").select("node_id", "len", f.alias("f"))
+
+
 def bm25(index: Index, wanted: list[list[str]]) -> DataFrame:
-    """node_id, score of all documents with a hit."""
-    hits = phrase_hits(index, wanted)
-    spread = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    corpus = index.sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
-    # Both sides are tiny for certain: a row a phrase of the search, and one row.
-    known = hits.join(F.broadcast(spread), "phrase").join(index.sizes, "node_id").join(F.broadcast(corpus), F.lit(True))
-    idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
-    score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    each = known.select("node_id", "phrase", score.alias("s"))
-    # Phrases are added in order, so that sums are the same on every run.
-    return each.groupBy("node_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("phrase", "s"))), F.lit(0.0), lambda a, x: a + x["s"]).alias("score"))
+    """node_id, score of all documents with a hit. Phrases are added in order, so that sums are the same on every run."""
+    occ = occurrences(index, wanted)
+    n = [F.count_if(F.col("f")[i] > 0) for i in range(len(wanted))]
+    corpus = occ.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"), F.array(*n).alias("n"))
+    idf = F.transform("n", lambda k: F.log((F.col("docs") - k + 0.5) / (k + 0.5)))
+    corpus = corpus.select("avg_len", F.transform(idf, lambda x: F.when(x <= 0, F.lit(FLOOR)).otherwise(x)).alias("idf"))
+    # The other side is one row.
+    known = occ.where(F.exists("f", lambda x: x > 0)).join(F.broadcast(corpus), F.lit(True))
+    room = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
+    score = sum((F.col("idf")[i] * F.col("f")[i] * (K1 + 1) / (F.col("f")[i] + room) for i in range(len(wanted))), F.lit(0.0))
+    return known.select("node_id", score.alias("score"))
 
 
 def _filters(o: Options) -> list[Column]:

@@ -38,6 +38,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows laid over all cores where a table has fewer splits than these (one small file); larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a context; jobs whose functions run there call it first."""
     import zipfile

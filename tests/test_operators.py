@@ -42,6 +42,14 @@ def test_bm25_as_sqlite(docs, term):
     assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
 
 
+def test_stored_index(docs, tmp_path):
+    search.build_index(docs).save(str(tmp_path), 2)
+    stored = search.load_index(docs, str(tmp_path))
+    for term in ("job search", "first-week resume", "week-first", "none"):
+        a, b = ({r["node_id"]: r["score"] for r in search.bm25(i, phrases(term)).collect()} for i in (stored, search.build_index(docs)))
+        assert a == b
+
+
 def test_search_filters_and_modes(docs, nodes):
     index = search.build_index(docs)
     run = lambda **o: [r for r in search.ordered(search.search(index, nodes, search.Options(**o))).collect()]
