@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.session import cut, ship
+from lodegraph.session import cut, ship, spread
 
 # Common function words by language, and words of offers; one list a language.
 FUNCTION_WORDS = {
@@ -50,6 +50,7 @@ _COMMON = frozenset(_ALL)
 _LINK = re.compile(r"!?\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\n]*\)|<?https?://[^\s>|]+>?|www\.[^\s|]+")
 _TAG = re.compile(r"(?<![\w/&])#[^\s#]+|(?<=\w)#[^\s#]+")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
+_RUN = re.compile(r"[぀-ヿ㐀-鿿]{2,6}")
 _PRICE = re.compile(r"\d[\d.]*[.,]\d\d(?!\d)|[$€£¥]\s?\d|-\d+\s?%")
 _CODE = re.compile(r"[A-Z]{2,5}-[0-9A-Z]{3,}")
 _MARK = re.compile(r"[^\w\s]*\s*|[-*+\d.\s>|]*")
@@ -76,12 +77,18 @@ def features(text: str | None) -> tuple[str, list[float]]:
     content = {w: c for w, c in counts.items() if w not in _COMMON and not w.isdigit()}
     often = max(3.0, 0.03 * total)
     hot = {w for w, c in content.items() if c >= often}
+    # In scripts without spaces a keyword is a short run of characters, none of them a function word, that stands alone again and again.
+    runs = Counter(r for x in cut_lines for r in _RUN.findall(x[0]) if not any(c in _COMMON for c in r)) if any(w > "぀" for w in counts) else {}
+    hot_runs = {r for r, c in runs.items() if c >= 4}
     function = sum(c for w, c in counts.items() if w in _COMMON)
     for whole, links, tags, words in cut_lines:
         n, k = len(whole), len(words)
         common = sum(w in _COMMON for w in words)
         repeated = sum(w in hot for w in words)
         signs = sum(len(w) == 1 and w > "぀" for w in words) * 2 > k  # a script without spaces: characters repeat by themselves
+        if signs and hot_runs and "。" not in whole:
+            repeated = max(repeated, sum(len(r) for r in _RUN.findall(whole) if r in hot_runs))
+            signs = repeated < 0.45 * k
         told = k >= 5 and common >= 0.15 * k  # running text beside what was taken out
         if links and not told and links >= 0.4 * n:
             mass["link"] += n
@@ -131,7 +138,7 @@ def page_features(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array([t != "" for t, _ in found], pa.bool_()), *[pa.array(values[:, i]) for i in range(len(NAMES))]], names=["key", "lang", "told", *NAMES])
 
     kind = docs.schema[key].dataType.simpleString()
-    some = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")).where(F.col("text").rlike(r"\S"))
+    some = spread(docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")), "key").where(F.col("text").rlike(r"\S"))
     return some.mapInArrow(run, f"key {kind}, lang string, told boolean, " + ", ".join(f"{x} double" for x in NAMES))
 
 

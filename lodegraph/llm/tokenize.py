@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.session import ship
+from lodegraph.session import ship, spread
 
 #: Words a worker process keeps; beyond it starts anew. It only bounds memory.
 WORDS_KEPT = 400_000
@@ -141,8 +141,8 @@ def replay_of(path: str) -> Replay:
 
 def _words(df: DataFrame, key: str, text: str) -> DataFrame:
     ship(df.sparkSession)
-    words = F.coalesce(F.regexp_extract_all(df[text], F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
-    return df.select(df[key].alias("key"), words.alias("words"))
+    words = F.coalesce(F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    return spread(df.select(df[key].alias("key"), df[text].alias("text")), "key").select("key", words.alias("words"))
 
 
 def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
