@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import phrases, snippet, tokens
-from lodegraph.session import ship
+from lodegraph.session import cut, ship
 
 COLUMNS = ["title", "rel_path", "scope", "body", "summary", "aliases", "tags"]
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -107,7 +107,8 @@ def occurrences(index: Index, wanted: list[list[str]]) -> DataFrame:
         return F.aggregate("t", F.lit(0), lambda n, w: n + one(w))
 
     if not index.stored:
-        return _split(index.docs).select("node_id", _len(), F.array(*[count(p) for p in wanted]).alias("f"))
+        # Written once, a few bytes a document: a filter pushed below the counts would tokenise every text again.
+        return cut(_split(index.docs).select("node_id", _len(), F.array(*[count(p) for p in wanted]).alias("f")))
     hits = phrase_hits(index, wanted).groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("phrase", "f"))).alias("m"))
     f = F.array(*[F.coalesce(F.col("m")[n], F.lit(0)).cast("int") for n in range(len(wanted))])
     return index.sizes.join(hits, "node_id", "left").select("node_id", "len", f.alias("f"))
