@@ -88,6 +88,8 @@ def main(argv: list[str] | None = None) -> int:
         show({"schema_version": "graph-related/v1alpha1", "campaign_root": root, "query_path": o.path, "mode": o.mode, "items": [r.asDict() for r in items.collect()]})
     else:
         if getattr(o, "node", ""):
+            at = search.resolve(search.build_index(store.read("search_docs")), nodes, o.node, by_name=True).head()
+            o.node = at["node_id"] if at else o.node
             nodes, edges = graph.neighbourhood(nodes, edges, o.node, o.hops)
         elif o.command == "render" and o.scope:
             nodes = graph.scope_slice(nodes, o.scope)

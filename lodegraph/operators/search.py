@@ -198,8 +198,8 @@ def with_snippets(page: DataFrame, docs: DataFrame, term: str) -> DataFrame:
     return page.join(docs.select("node_id", "body"), "node_id").withColumn("snippet", cut_out("body")).drop("body")
 
 
-def resolve(index: Index, nodes: DataFrame, text: str) -> DataFrame:
-    """node_id, reason of the node that a text names: an id, a document's path, a node's path (as given, then without ``./``), else the top hit. At most one row."""
+def resolve(index: Index, nodes: DataFrame, text: str, by_name: bool = False) -> DataFrame:
+    """node_id, reason of the node that a text names: an id, a document's path, a node's path (as given, then without ``./``), else the top hit, and with ``by_name`` at last a node's name. At most one row."""
     text = text.strip()
     if not text:
         return nodes.limit(0).select(F.col("id").alias("node_id"), F.lit("").alias("reason"))
@@ -211,6 +211,8 @@ def resolve(index: Index, nodes: DataFrame, text: str) -> DataFrame:
         index.docs.where(F.col("rel_path") == bare).select(F.col("node_id").alias("id"), F.lit(3).alias("p"), F.lit("exact_rel_path").alias("reason")),
         ordered(search(index, nodes, Options(text, limit=1))).select(F.col("node_id").alias("id"), F.lit(4).alias("p"), F.lit("top_hit").alias("reason")),
     ]
+    if by_name:
+        tries.append(nodes.where(F.col("name") == text).select("id", F.lit(5).alias("p"), F.lit("exact_name").alias("reason")))
     return reduce(DataFrame.unionByName, tries).orderBy("p", "id").limit(1).select(F.col("id").alias("node_id"), "reason")
 
 

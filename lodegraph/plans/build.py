@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import paths as p
 from lodegraph.model import INDEXED_TYPES, SCHEMA_VERSION
-from lodegraph.operators import inference, ledger, links, refresh, scopes
+from lodegraph.operators import inference, ledger, links, metadata, refresh, scopes
 from lodegraph.session import cut
 from lodegraph.sources import workspace
 from lodegraph.sources.store import Store
@@ -127,11 +127,19 @@ def build(root: str, entries: DataFrame, texts: DataFrame, boundaries: DataFrame
     edges = edges.groupBy("from_id", "to_id", "type").agg(F.min(F.struct("subtype", "confidence", "source", "note")).alias("r")).select("from_id", "to_id", "type", "r.confidence", "r.source", "r.subtype", "r.note")
     edges = cut(edges)
     inferred = inference.inferred_edges(inference.candidate_pairs(inference.groups(nodes, edges)), nodes).select(edges.columns)
-    edges = edges.unionByName(inferred.join(edges.select("from_id", "to_id", "type"), ["from_id", "to_id", "type"], "left_anti")).withColumn("created_at", now)
+    fest_files = texts.join(art.where("type = 'festival'").select("id", F.concat("rel", F.lit("/fest.yaml")).alias("rel_path")), "rel_path").select("id", "text")
+    intent_files = texts.join(art.where("type = 'intent'").select("id", F.col("rel").alias("rel_path")), "rel_path").select("id", "text")
+    stated = metadata.festival_edges(fest_files, nodes).unionByName(metadata.intent_edges(intent_files, nodes)).withColumn("note", F.lit("")).select(edges.columns)
+    # Of equal (from, to, type) the earlier pass counts.
+    key = ["from_id", "to_id", "type"]
+    ranked = reduce(DataFrame.unionByName, [df.withColumn("_p", F.lit(n)) for n, df in enumerate((edges, inferred, stated))])
+    rest = [c for c in edges.columns if c not in key]
+    edges = ranked.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("_p", *rest)).alias("r")).select(*key, "r.*").withColumn("created_at", now)
     edges = cut(edges)
 
     if events is not None:
-        told = cut(ledger.resolved(ledger.prepared(events), nodes))
+        aliases = ledger.workitem_aliases(metadata.work_items(texts.where(p.basename(F.col("rel_path")) == ".workitem")))
+        told = cut(ledger.resolved(ledger.prepared(events), nodes, aliases))
         decided, acts = ledger.decisions(told), ledger.actions(told)
         fresh = decided.select("id", F.lit("decision").alias("type"), "name", "path").unionByName(acts.select("id", F.lit("action").alias("type"), "name", F.lit("").alias("path"))).select("*", F.lit("").alias("status"), none.alias("metadata"))
         state_now = ledger.artifact_status(told).select(F.col("artifact").alias("id"), F.col("status").alias("_s"))

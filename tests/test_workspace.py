@@ -25,9 +25,11 @@ def root(tmp_path):
         "projects/tool/.git/HEAD": "x",
         ".gitmodules": '[submodule "t"]\n\tpath = projects/tool\n',
         ".campaign/intents/inbox/idea.md": "idea",
+        "festivals/active/demo-DF1/fest.yaml": "project_path: projects/alpha\n",
+        "workflow/design/plan/.workitem": "id: WI-1\n",
         "festivals/active/demo-DF1/001_B/01_s/01_t.md": "task",
         "festivals/active/demo-DF1/001_B/01_s/SEQUENCE_GOAL.md": "goal",
-        ".campaign/events/2026-07/a.jsonl": json.dumps({"v": 1, "id": "d1", "ts": "2026-07-12T10:00:00Z", "kind": "decided", "scope": {"festival": "DF1"}, "source": "explicit"}) + "\njunk\n",
+        ".campaign/events/2026-07/a.jsonl": json.dumps({"v": 1, "id": "d1", "ts": "2026-07-12T10:00:00Z", "kind": "decided", "scope": {"festival": "DF1"}, "source": "explicit"}) + "\njunk\n" + json.dumps({"v": 1, "id": "d2", "ts": "2026-07-12T11:00:00Z", "kind": "completed", "scope": {"workitem": "WI-1"}}) + "\n",
     }
     for k, v in files.items():
         path = tmp_path / "ws" / k
@@ -62,6 +64,7 @@ def test_build_refresh_and_store(spark, root, tmp_path):
     assert "canvas:Work/bad.canvas" not in ids and not any("SEQUENCE_GOAL" in i and "note" not in i for i in ids)
     edges = {(r["from_id"], r["to_id"], r["type"]) for r in store.read("edges").collect()}
     assert ("note:Work/alpha.md", "note:Work/beta x.md", "links_to") in edges and ("festival:demo-DF1", "decision:d1", "contains") in edges
+    assert ("festival:demo-DF1", "project:alpha", "links_to") in edges and ids["design_doc:plan"]["status"] == "completed"
     assert all(a in ids and b in ids for a, b, _ in edges)
     assert store.meta()["unreadable_lines"] == "1" and store.version() == SCHEMA_VERSION
     again = build.refresh_workspace(spark, root, store, probe)
