@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.session import cut
+
 #: Keys a sketch tracks; the heavy list, and so what is broadcast, never has more entries than HEAVY_MOST.
 SKETCH_ITEMS, HEAVY_MOST = 8192, 1024
 
@@ -37,7 +39,8 @@ def per_key_figures(df: DataFrame, key: str, count_distinct: str, distinct_on: l
     """
     columns = list(dict.fromkeys([key, count_distinct, *distinct_on]))
     rows = df.where(df[key].isNotNull() & (df[key] != "")).select(*[df[c] for c in columns])
-    heavy = heavy_hitters(rows, key, share)
+    # Written once, at most HEAVY_MOST rows, so that the two ways don't run the sketch again.
+    heavy = cut(heavy_hitters(rows, key, share))
     marked = rows.join(F.broadcast(heavy), rows[key] == heavy["key"], "left")
     hot = marked.where(F.col("key").isNotNull()).drop("key")
     light = rows.join(F.broadcast(heavy), rows[key] == heavy["key"], "left_anti")
@@ -62,6 +65,7 @@ def _within(df: DataFrame, by: list[str], columns: list[str], count_distinct: st
 
 
 def heavy_share_of(figures: DataFrame, share: float) -> DataFrame:
-    """The keys whose n_rows is at least ``share`` of all n_rows."""
+    """The keys whose n_rows is at least ``share`` of all n_rows. The figures, a row a key, are written and read twice."""
+    figures = cut(figures)
     total = figures.agg(F.sum("n_rows").alias("_total"))
     return figures.join(F.broadcast(total), F.col("n_rows") * F.lit(1.0) >= F.lit(share) * F.col("_total")).drop("_total")
