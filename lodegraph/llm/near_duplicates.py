@@ -131,12 +131,11 @@ def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Equality is told by the sets' 128-bit hashes and sizes.
     """
-    keyed, same = cut(sets), ["h1", "h2", "n"]
-    firsts = keyed.groupBy(*same).agg(F.min("node_id").alias("node_id"))
-    # Rows of a checkpointed table keep their place, so the number given to them stays.
-    coded = cut(keyed.join(firsts.select("node_id"), "node_id", "left_semi").withColumn("code", F.monotonically_increasing_id()))
-    members = keyed.select("node_id", *same).join(coded.select("code", *same), same).select("code", "node_id")
-    return cut(members), coded.drop("h1", "h2")
+    # Rows of a checkpointed table keep their place, so the number given to them is the same each time.
+    keyed, same = cut(sets).withColumn("code", F.monotonically_increasing_id()), ["h1", "h2", "n"]
+    firsts = cut(keyed.groupBy(*same).agg(F.min("code").alias("code")))
+    members = keyed.select("node_id", *same).join(firsts, same).select("code", "node_id")
+    return cut(members), cut(keyed.drop("h1", "h2").join(firsts.select("code"), "code", "left_semi"))
 
 
 def alike(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, branching: float = BRANCHING, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
@@ -151,7 +150,7 @@ def alike(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     sketch = [c for c in reps.columns if c.startswith("s")]
     small = reps.select("code", "n", *sketch)
     leaves: list[DataFrame] = []
-    rows = cut(_split(tokens, starts, branching))
+    rows, going = cut(_split(tokens, starts, branching)), tokens
     for level in range(depth):
         counted = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = cut(rows.join(counted, "path"))
@@ -162,7 +161,9 @@ def alike(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         if level == depth - 1:
             leaves.append(large)
             break
-        rows = _split(large.select("path", "code").join(tokens, "code"), None, branching)
+        # Fewer documents are left in large buckets each time; only their sets go on, and each split runs once.
+        going = cut(going.join(large.select("code").distinct(), "code", "left_semi"))
+        rows = cut(_split(large.select("path", "code").join(going, "code"), None, branching))
     bits = 64 * len(sketch)
     # Bits that may differ: those expected at the threshold and six standard deviations more.
     differ = (1 - threshold) / 2
