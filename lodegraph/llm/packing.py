@@ -20,6 +20,7 @@ from lodegraph.session import cut
 
 #: Patterns enumerated at most for each length, lengths of a pattern at most, parts a length's items are ranked in.
 PATTERNS_EACH, DEEPEST, SALTS = 3, 8, 32
+SCALES = (1.0, 0.9, 0.75, 0.5, 0.25)  #: of the fitted repeats, tried in turn
 
 
 def patterns_of(counts: np.ndarray, capacity: int, each: int = PATTERNS_EACH, deepest: int = DEEPEST) -> list[tuple[int, ...]]:
@@ -101,21 +102,28 @@ def repeats_of(patterns: list[tuple[int, ...]], counts: np.ndarray, steps: int =
 
 
 def plan_of(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that together hold exactly the items of the histogram ``counts`` (index 0 to capacity)."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    plan: list[tuple[tuple[int, ...], int]] = []
-    patterns = patterns_of(left, capacity)
-    fitted = np.floor(repeats_of(patterns, left) + 1e-6).astype(np.int64)
-    for k in np.argsort(-fitted, kind="stable"):
-        if fitted[k] <= 0:
-            break
-        lengths, need = np.unique(patterns[k], return_counts=True)
-        times = int(min(fitted[k], (left[lengths] // need).min()))
-        if times > 0:
-            plan.append((patterns[k], times))
-            left[lengths] -= need * times
-    return plan + _best_fit(left, capacity)
+    """(lengths, repeats) that together hold exactly the items of the histogram ``counts`` (index 0 to capacity).
+
+    The fitted repeats are rounded down at several scales, each with the rest packed best-fit, and the plan with the fewest
+    containers is taken: where long items are many, some must be left for the short ones of the rest.
+    """
+    whole = counts.astype(np.int64).copy()
+    whole[0] = 0
+    patterns = patterns_of(whole, capacity)
+    fitted = repeats_of(patterns, whole)
+    plans = []
+    for scale in SCALES:
+        left, plan, times_of = whole.copy(), [], np.floor(scale * fitted + 1e-6).astype(np.int64)
+        for k in np.argsort(-times_of, kind="stable"):
+            if times_of[k] <= 0:
+                break
+            lengths, need = np.unique(patterns[k], return_counts=True)
+            times = int(min(times_of[k], (left[lengths] // need).min()))
+            if times > 0:
+                plan.append((patterns[k], times))
+                left[lengths] -= need * times
+        plans.append(plan + _best_fit(left, capacity))
+    return min(plans, key=lambda p: sum(t for _, t in p))
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
