@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.model import MODE_SOURCES
-from lodegraph.session import cut
+from lodegraph.session import cut, shuffle_partitions
 
 
 class GraphError(ValueError):
@@ -111,22 +111,22 @@ def topological_layers(edges: DataFrame, strict: bool = True) -> DataFrame:
     return done if done is not None else left.withColumn("layer", F.lit(0))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 64) -> DataFrame:
-    """step, id of the shortest directed path, of several the least by ids; no rows if there is none within ``most`` steps.
+def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
+    """step, id of the shortest directed path, of several the least by ids; no rows if there is none (within ``most`` steps, if given).
 
-    Breadth first: each id keeps the least path that reaches it first.
+    Breadth first, until the target is reached or no new id is: each id keeps the least path that reaches it first.
     """
     spark = edges.sparkSession
     links = cut(edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct())
     frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
-    seen = frontier.select("id")
-    for _ in range(most):
-        if (hit := frontier.where(F.col("id") == target).select("path").head()) or frontier.isEmpty():
-            break
+    seen, step = frontier.select("id"), 0
+    at = F.when(F.col("id") == target, F.col("path"))
+    while (now := frontier.agg(F.min(at).alias("path"), F.count(F.lit(1)).alias("n")).head())["path"] is None and now["n"] and step != most:
         grown = links.join(frontier, "id").groupBy(F.col("next").alias("id")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
         frontier = cut(grown.join(seen, "id", "left_anti"))
-        seen = cut(seen.unionByName(frontier.select("id")))
-    path = hit["path"] if hit else []
+        # A union has the parts of both sides; unless they are put together they grow with the steps.
+        seen, step = cut(seen.unionByName(frontier.select("id")).coalesce(shuffle_partitions(spark))), step + 1
+    path = now["path"] or []
     return spark.createDataFrame([(n, x) for n, x in enumerate(path)], "step int, id string")
 
 

@@ -146,7 +146,8 @@ w(id, path, d) AS (
 p AS (SELECT path FROM w WHERE id = '{TOOLS}' ORDER BY d, path LIMIT 1)
 SELECT (i - 1)::INTEGER AS step, path[i] AS id FROM p, unnest(range(1, len(path) + 1)) AS u(i)""")
 def shortest_path(spark, d):
-    return g.shortest_path(unique_edges(spark, d), FAR, TOOLS, 12)
+    """However many steps it takes; the SQL gives up after 12, so it has no rows where the path is longer."""
+    return g.shortest_path(unique_edges(spark, d), FAR, TOOLS)
 
 
 @query(E + f""", b AS (SELECT 'out' AS direction, to_id AS other, type FROM e WHERE from_id = '{HOME}' UNION ALL SELECT 'in', from_id, type FROM e WHERE to_id = '{HOME}')

@@ -160,6 +160,15 @@ def test_graph(spark):
     assert graph.topological_layers(e()).count() == 0 and graph.simple_digraph(n, chain).count() == 3
 
 
+def test_shortest_path_of_any_length(spark):
+    steps = [(f"c{i:02}", f"c{i + 1:02}") for i in range(67)] + [("c66", "b"), ("b", "c68"), ("c67", "c68"), ("c40", "c02"), ("x", "c00")]
+    chain = spark.createDataFrame(steps, "from_id string, to_id string")
+    path = lambda *a: [r["id"] for r in graph.shortest_path(chain, *a).orderBy("step").collect()]
+    assert path("c00", "c68") == [f"c{i:02}" for i in range(67)] + ["b", "c68"]
+    assert path("c64", "c68", 4) == ["c64", "c65", "c66", "b", "c68"] and path("c64", "c68", 3) == []
+    assert path("c68", "c00") == [] and path("b", "b") == ["b"]
+
+
 def test_scopes(spark):
     f = spark.createDataFrame([("bin/x", "ignored"), ("bin/y", "ignored"), ("src/a", "tracked"), ("src/b", "ignored"), ("e/f/g", "Ignored ")], "p string, s string")
     assert sorted(r["folder"] for r in scopes.ignored_folders(f, "p", "s").collect()) == ["bin", "e", "e/f"]
