@@ -9,6 +9,10 @@ from lodegraph.model import MODE_SOURCES
 from lodegraph.session import cut, shuffle_partitions
 
 
+#: Ids of a layer that are broadcast at most; larger layers are joined by shuffle.
+BROADCAST_MOST = 20_000
+
+
 class GraphError(ValueError):
     """A graph that an operator cannot work on."""
 
@@ -91,24 +95,26 @@ def simple_digraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def topological_layers(edges: DataFrame, strict: bool = True) -> DataFrame:
     """id, layer: the length of the longest chain that leads to an id. Ids on or behind a loop are an error, or layer -1 if not ``strict``.
 
-    Layers are peeled: each round removes the ids to which no remaining edge leads.
+    Layers are peeled: each round places the ids to which no edge from an id that isn't placed leads, and takes their own
+    edges off the counts of the rest, so that a round moves the edges of one layer only.
     """
+    spark = edges.sparkSession
     links = cut(edges.select("from_id", "to_id").distinct())
-    left = cut(links.select(F.col("from_id").alias("id")).union(links.select("to_id")).distinct())
-    done, layer = None, 0
-    while not left.isEmpty():
-        free = cut(left.join(links, left["id"] == links["to_id"], "left_anti"))
-        if free.isEmpty():
-            if strict:
-                raise GraphError("the graph has a cycle")
-            return done.unionByName(left.withColumn("layer", F.lit(-1))) if done is not None else left.withColumn("layer", F.lit(-1))
-        placed = free.withColumn("layer", F.lit(layer))
-        done = placed if done is None else done.unionByName(placed)
-        links = links.join(free, links["from_id"] == free["id"], "left_anti")
-        left = left.join(free, "id", "left_anti")
-        links, left = cut(links), cut(left)
+    ends = links.select(F.col("from_id").alias("id"), F.lit(0).cast("bigint").alias("one")).union(links.select("to_id", F.lit(1).cast("bigint")))
+    state = ends.groupBy("id").agg(F.sum("one").alias("open"))
+    state = cut(state.withColumn("layer", F.when(F.col("open") == 0, F.lit(0))))
+    layer = 0
+    while n := (free := state.where(F.col("layer") == layer).select(F.col("id").alias("from_id"))).count():
+        # A counted, small layer goes to the edges, which then need no shuffle.
+        free = F.broadcast(free) if n <= BROADCAST_MOST else free
+        less = links.join(free, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("less"))
+        left = F.col("open") - F.coalesce("less", F.lit(0))
+        now = F.when(F.col("layer").isNull() & (left == 0), F.lit(layer + 1)).otherwise(F.col("layer"))
+        state = cut(state.join(less, "id", "left").select("id", left.alias("open"), now.alias("layer")).coalesce(shuffle_partitions(spark)))
         layer += 1
-    return done if done is not None else left.withColumn("layer", F.lit(0))
+    if strict and not state.where("layer is null").isEmpty():
+        raise GraphError("the graph has a cycle")
+    return state.select("id", F.coalesce("layer", F.lit(-1)).alias("layer"))
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:

@@ -134,10 +134,16 @@ ids AS (SELECT from_id AS id FROM l UNION SELECT to_id FROM l),
 w(id, layer) AS (SELECT id, 0 FROM ids UNION SELECT l.to_id, w.layer + 1 FROM w JOIN l ON l.from_id = w.id)
 SELECT id, max(layer)::INTEGER AS layer FROM w GROUP BY id""")
 def topo_layers(spark, d):
-    """Layers of the festival steps, whose ids grow along each edge, so that there is no loop."""
+    """Layers of the festival steps only, whose ids grow along each edge, so that there is no loop and SQL can tell them; topo_layers_all has all ids."""
     return g.topological_layers(unique_edges(spark, d).where(_PHASES))
 
 
+@query()
+def topo_layers_all(spark, d):
+    """Layers over all edges; ids on or behind a loop have layer -1."""
+    return g.topological_layers(unique_edges(spark, d), strict=False)
+
+
 @query(f"""WITH RECURSIVE {EDGES_SQL}, l AS (SELECT DISTINCT from_id, to_id FROM e),
 w(id, path, d) AS (
   SELECT '{FAR}', ['{FAR}'], 0

@@ -1,6 +1,7 @@
 """Small fixtures for operators that SQL cannot check well."""
 
 import json
+import random
 import sqlite3
 
 import pytest
@@ -169,6 +170,25 @@ def test_shortest_path_of_any_length(spark):
     assert path("c68", "c00") == [] and path("b", "b") == ["b"]
 
 
+def test_layers_of_all_edges(spark, tmp_path):
+    from lodegraph.plans import registry
+
+    rnd = random.Random(4)
+    # Chains among a0.., a loop with ids before and behind it, an edge to itself, repeats, ids of any kind.
+    pairs = [(f"note:a{i}", f"tag:a{j}" if j % 5 == 0 else f"note:a{j}") for i, j in ((rnd.randrange(0, 30), rnd.randrange(0, 60)) for _ in range(90)) if i < j]
+    pairs += [("p", "l1"), ("l1", "l2"), ("l2", "l1"), ("l2", "q"), ("q", "r"), ("s", "s"), ("r2", "r3"), *pairs[:5]]
+    rows = [(a, b, rnd.choice(["links_to", " Contains "]), 1.0, "explicit", "", "", None) for a, b in pairs] + [(None, "z", "t", 1.0, "explicit", "", "", None), ("z", "", "t", 1.0, "explicit", "", "", None)]
+    spark.createDataFrame(rows, "from_id string, to_id string, type string, confidence double, source string, subtype string, note string, created_at timestamp").write.parquet(f"{tmp_path}/edges.parquet")
+    into = {x: {a for a, b in pairs if b == x} for pair in pairs for x in pair}
+    want, layer = {}, 0
+    while free := [x for x in into if x not in want and into[x] <= want.keys()]:
+        want |= dict.fromkeys(free, layer)
+        layer += 1
+    got = [tuple(r) for r in registry.queries()["topo_layers_all"](spark, str(tmp_path)).select("id", "layer").collect()]
+    assert len(got) == len(into) and dict(got) == {x: want.get(x, -1) for x in into}
+    assert {x for x, n in got if n == -1} == {"l1", "l2", "q", "r", "s"} and layer > 2
+
+
 def test_scopes(spark):
     f = spark.createDataFrame([("bin/x", "ignored"), ("bin/y", "ignored"), ("src/a", "tracked"), ("src/b", "ignored"), ("e/f/g", "Ignored ")], "p string, s string")
     assert sorted(r["folder"] for r in scopes.ignored_folders(f, "p", "s").collect()) == ["bin", "e", "e/f"]
