@@ -376,10 +376,11 @@ def ledger_produced(spark, d):
 
 
 def _log_lines(spark, d):
-    """Event lines that documents hold, as events of the document's time."""
-    lines = _notes(spark, d).join(table(spark, d, "documents").select("rel_path", "updated_at"), "rel_path").where(F.col("text").startswith('{"v"')).select("updated_at", F.explode(F.split("text", "\n")).alias("line"))
+    """Event lines that documents hold, wherever in their text, as events of the document's time."""
+    docs = table(spark, d, "documents").where("rel_path is not null")
+    lines = docs.select("updated_at", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"^\s*\{"))
     schema = "v int, id string, kind string, why string, scope struct<festival:string>"
-    e = lines.where("line != ''").select("updated_at", F.from_json("line", schema).alias("e")).where("e.id is not null").select("e.*", "updated_at")
+    e = lines.select("updated_at", F.from_json("line", schema).alias("e")).where("e.id is not null").select("e.*", "updated_at")
     nothing = F.lit(None).cast("string")
     return e.select("v", "id", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "kind", nothing.alias("action"), "scope", "why", nothing.alias("payload"), F.lit(None).cast("array<struct<type:string,repo:string,sha:string,path:string,url:string>>").alias("evidence"), nothing.alias("source"))
 
@@ -387,6 +388,7 @@ def _log_lines(spark, d):
 @query(f"""WITH {NOTES}, l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM nt WHERE starts_with(text, '{{"v"')), j AS (SELECT json_extract_string(line, '$.id') AS id, json_extract_string(line, '$.kind') AS kind, json_extract_string(line, '$.why') AS why FROM l WHERE line <> '' AND json_valid(line))
 SELECT DISTINCT 'decision:' || id AS id, coalesce(nullif(why, ''), id) AS name FROM j WHERE kind = 'decided'""")
 def ledger_decisions(spark, d):
+    """Of all documents; the SQL passes over those that don't start with an event."""
     return ledger.decisions(ledger.prepared(_log_lines(spark, d))).select("id", "name")
 
 

@@ -110,3 +110,21 @@ def test_stream(spark, tmp_path):
     q = ledger_stream.activity(ledger_stream.read_events(spark, str(src))).writeStream.outputMode("complete").format("memory").queryName("act").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n_events) from act").first()[0] == 5
+
+
+def test_decisions_after_other_text(spark, tmp_path):
+    from datetime import datetime
+
+    from lodegraph.plans import registry
+
+    event = lambda id_, kind="decided", why="": '{"v": 1, "id": "%s", "kind": "%s", "why": "%s"}' % (id_, kind, why)
+    texts = [
+        event("a", why="first") + "\n" + event("b", "created") + "\n\n" + event("c"),
+        "# Change log\n\nWhat came of it:\n" + event("d", why="late") + "\r\n  " + event("e") + "\nMore.\n" + event("f", "created"),
+        '{"id": 1}\n{"id": null, "v": 1, "kind": "decided"}\n{"v": 1, "kind": "decided"}\n{broken "kind": "decided"}\nthe {"v": 1} in a sentence\n' + event("a", why="first"),
+        "no events", "", None,
+    ]
+    rows = [(f"n{i}.md", x, datetime(2024, 1, 1 + i)) for i, x in enumerate(texts)] + [(None, event("g"), None)]
+    spark.createDataFrame(rows, "rel_path string, text string, updated_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["id"], r["name"]) for r in registry.queries()["ledger_decisions"](spark, str(tmp_path)).collect())
+    assert got == [("decision:a", "first"), ("decision:c", "c"), ("decision:d", "late"), ("decision:e", "e")]
