@@ -55,6 +55,12 @@ def candidate_pairs(members: DataFrame, cap: int | None = GROUP_CAP, budget: int
     return pairs
 
 
+def memberships(members: DataFrame) -> DataFrame:
+    """source, value, id, n_members: every member of every group, however large, a row each; what a cap keeps from :func:`candidate_pairs` is here."""
+    rows = members.distinct()
+    return rows.join(rows.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n_members")), ["source", "value"])
+
+
 def capped_groups(members: DataFrame, cap: int = GROUP_CAP) -> DataFrame:
     """source, value, n_members of the groups that a cap cuts."""
     return members.distinct().groupBy("source", "value").agg(F.count(F.lit(1)).alias("n_members")).where(F.col("n_members") > cap)

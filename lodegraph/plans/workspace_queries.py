@@ -254,6 +254,11 @@ def cand_truncated(spark, d):
     return inference.capped_groups(inference.groups(current_nodes(spark, d), unique_edges(spark, d)))
 
 
+@query(_CAND + "SELECT source, value, id, count(*) OVER (PARTITION BY source, value) AS n_members FROM g")
+def cand_members(spark, d):
+    return inference.memberships(inference.groups(current_nodes(spark, d), unique_edges(spark, d)))
+
+
 _W = "(VALUES " + ", ".join(f"('{s}', {w}::DECIMAL(9, 3))" for s, w in EVIDENCE_WEIGHTS.items()) + ") AS w(source, weight)"
 _INFER = f""", cl AS (SELECT DISTINCT from_id, to_id, source, value FROM {{}} WHERE value <> '' AND from_id < to_id),
 pf AS (SELECT id, list_distinct(list_concat({_TOK.format(_sql_stem('name'))}, {_TOK.format("coalesce(metadata['title'], '')")})) AS tok,

@@ -189,6 +189,14 @@ def test_layers_of_all_edges(spark, tmp_path):
     assert {x for x, n in got if n == -1} == {"l1", "l2", "q", "r", "s"} and layer > 2
 
 
+def test_whole_groups_by_membership(spark):
+    rows = [("shared_tag", "big", f"n{i:03}") for i in range(300)] * 2 + [("shared_tag", "small", "n001"), ("same_folder", "big", "n002")]
+    members = spark.createDataFrame(rows, "source string, value string, id string")
+    got = sorted(tuple(r) for r in inference.memberships(members).select("source", "value", "id", "n_members").collect())
+    assert got == sorted((*x, 300 if x[:2] == ("shared_tag", "big") else 1) for x in set(rows))
+    assert inference.candidate_pairs(members).count() == 128 * 127 // 2 < inference.candidate_pairs(members, None).count() == 300 * 299 // 2
+
+
 def test_scopes(spark):
     f = spark.createDataFrame([("bin/x", "ignored"), ("bin/y", "ignored"), ("src/a", "tracked"), ("src/b", "ignored"), ("e/f/g", "Ignored ")], "p string, s string")
     assert sorted(r["folder"] for r in scopes.ignored_folders(f, "p", "s").collect()) == ["bin", "e", "e/f"]
