@@ -100,6 +100,15 @@ def test_packing(spark, capacity, top, n):
     assert out == packing.pack(df, "key", "n", capacity).collect() or sorted(map(tuple, out)) == sorted(map(tuple, packing.pack(df, "key", "n", capacity).collect()))
 
 
+@pytest.mark.parametrize("capacity,top,n", [(64, 20, 500), (2048, 900, 1500)])
+def test_packing_of_short_items_by_volume(spark, capacity, top, n):
+    """Items of at most half the capacity come near the volume, whatever best-fit makes of them."""
+    rnd = random.Random(capacity + top)
+    sizes = {i: rnd.choice([rnd.randrange(1, top + 1), 17]) for i in range(n)}
+    out = packing.pack(spark.createDataFrame(list(sizes.items()), "key bigint, n bigint"), "key", "n", capacity).collect()
+    assert check(out, sizes, capacity) <= sum(sizes.values()) / capacity * 1.02 + 2
+
+
 def test_packing_by_patterns_and_edges(spark):
     counts = np.zeros(101, np.int64)
     counts[[60, 40, 25, 50]] = [1000, 1000, 400, 200]
