@@ -46,7 +46,8 @@ def per_key_figures(df: DataFrame, key: str, count_distinct: str, distinct_on: l
     light = rows.join(F.broadcast(heavy), rows[key] == heavy["key"], "left_anti")
     figures = [F.count(F.lit(1)).alias("n_rows"), F.countDistinct(count_distinct).alias("n_from")]
 
-    # Hot: repeats are dropped map-side first, then each part holds whole values of count_distinct.
+    # Hot: every row goes to its part before repeats are dropped there, so that each part holds whole values of
+    # count_distinct; all rows of one (key, count_distinct) are in one part, however many there are.
     salted = hot.withColumn("salt", F.pmod(F.xxhash64(count_distinct), F.lit(salts)))
     parts = _within(salted, [key, "salt"], [*columns, "salt"], count_distinct)
     hot_figures = parts.groupBy(key).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_from").alias("n_from"))
