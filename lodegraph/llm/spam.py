@@ -1,19 +1,19 @@
 """Keyword-stuffed and link-list pages by robust Mahalanobis distance.
 
-Each text gives shares of its characters by kind of line (bare links, tags, product labels, repeated keywords, prose) and
-measures of entropy, repetition and function words. By language a robust centre (medians) and a robust scatter (covariance
-of values wrapped at 2.5 robust deviations) are made over all documents that are in it by their function words, and once
-more over all documents together, for texts that tell no language and for languages with few documents. A page is flagged if its squared distance is
-beyond a chi-square quantile and it lies in a spam-directed direction: on the far side of a plane over the whitened
-distances, whose direction starts from the definition (bare links, tags, labels and keywords up, prose down) and is
-corrected by reviewed labels as far as there are any.
+Each text gives ten numbers: densities (links, tags, numbers, lines), repetition (the share of text in lines of repeated
+words, the share of the commonest words that recur), entropy and distinct words, and function words (their share, and the share of
+text in lines without them). By language a robust centre (medians) and a robust scatter (covariance of values wrapped at
+2.5 robust deviations) are made over all documents whose function words tell it, drawn towards those of all documents as
+far as a language has few; texts that tell no language are judged by the norm over all. Whitened by that norm, the length
+of a page's deviation is its Mahalanobis distance. A page is an outlier beyond a chi-square quantile of the squared
+distance, and it is flagged if it lies far enough in the spam direction: the distance times the cosine to that direction is
+above an offset. Direction and offset are fitted among outliers only, on reviewed labels and, with the weight of a few of
+them, on made-up pages that are what the definition names.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.session import cut, ship, spread
 
-# Common function words by language, and words of offers; one list a language.
+# Common function words, one list a language.
 FUNCTION_WORDS = {
     "en": "the a an of to in on at by for from with and or but so if then than as that this these those it its is are was were be been being has have had do does did not no nor will would can could should may might must we you he she they our your his her their i us them my me who which what when where why how there here once until before after because although into about over under again still only both each every all some any nobody knew says".split(),
     "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn weil dass als wie auf in im an am aus bei mit nach von vom zu zum zur für über unter ohne um noch nicht kein keine ist sind war waren wird werden wurde wurden hat haben hatte soll sollen kann können wir sie er es ich ihr uns sich auch nur schon mehr sehr diese dieser dieses kaum später".split(),
@@ -32,200 +32,267 @@ FUNCTION_WORDS = {
     "ja": list("のをにはがもとでへやかてしいるれらこそあ"),
     "zh": list("的了在是有没不这那我们你他她和要会就也已对把被着里中之为什么"),
 }
-OFFER_WORDS = frozenset(
-    "sku buy sale shop cheap discount price stock cart ships order deal deals offer offers free best top official promo soldes acheter kaufen günstige angebot rabatt comprar oferta rebajas gratis barato 批发 优惠 包邮 购买 特价 送料無料 通販 激安 セール".split()
-)
-NAMES = ["link", "tag", "label", "keyword", "prose", "function", "repeat", "entropy", "distinct", "offer"]
-#: What the definition says of each feature, as the start of the direction; and the share above which a page counts.
-PRIOR = {"link": 9.0, "tag": 9.0, "label": 9.0, "keyword": 9.0, "prose": -2.0, "repeat": 1.5}
-PRIOR_CUT = 3.6
+LANGUAGES = list(FUNCTION_WORDS)
+NAMES = ["link", "tag", "number", "repeat", "bare", "function", "entropy", "distinct", "lines", "top"]
+#: Least robust deviation of each feature, so that one that hardly varies doesn't decide alone.
+FLOOR = np.array([0.05, 0.05, 0.05, 0.10, 0.12, 0.08, 0.05, 0.08, 0.04, 0.06])
 ALL = "*"  #: the norm over all documents
-FEW = 50  #: a language with fewer documents is judged by the norm over all
+SHRINK = 50  #: documents that the norm over all counts as in that of a language
 LABELS_MOST = 50_000  #: reviewed pages used at most
-FLOOR = {"link": 0.08, "tag": 0.05, "label": 0.05, "keyword": 0.08, "prose": 0.12, "function": 0.08, "repeat": 0.08, "entropy": 0.04, "distinct": 0.08, "offer": 0.03}
+MADE_UP = 4.0  #: reviewed pages that all made-up ones together count as
 CHI2 = 29.6  #: the 0.999 quantile of chi-square with ten degrees of freedom
+TOKENS_AT_ONCE = 400_000  #: only bounds memory
 
-_ALL = {w: {k for k, ws in FUNCTION_WORDS.items() if w in ws} for ws in FUNCTION_WORDS.values() for w in ws}
-_COMMON = frozenset(_ALL)
-_LINK = re.compile(r"!?\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\n]*\)|<?https?://[^\s>|]+>?|www\.[^\s|]+")
-_TAG = re.compile(r"(?<![\w/&])#[^\s#]+|(?<=\w)#[^\s#]+")
-_WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
-_RUN = re.compile(r"[぀-ヿ㐀-鿿]{2,6}")
-_PRICE = re.compile(r"\d[\d.]*[.,]\d\d(?!\d)|[$€£¥]\s?\d|-\d+\s?%")
-_CODE = re.compile(r"[A-Z]{2,5}-[0-9A-Z]{3,}")
-_MARK = re.compile(r"[^\w\s]*\s*|[-*+\d.\s>|]*")
-
-
-def features(text: str | None) -> tuple[str, list[float]]:
-    """The language that the function words tell ('' if they tell none) and the features NAMES of a text; zeros without words."""
-    lines = [x for x in (text or "").splitlines() if x.strip()]
-    cut_lines = []
-    counts: Counter[str] = Counter()
-    for line in lines:
-        whole = line.strip()
-        links = sum(map(len, _LINK.findall(whole))) if ("://" in whole or "](" in whole or "[[" in whole or "www." in whole) else 0
-        rest = _LINK.sub(" ", whole) if links else whole
-        tags = sum(map(len, _TAG.findall(rest))) if "#" in rest else 0
-        if tags:
-            rest = _TAG.sub(" ", rest)
-        words = _WORD.findall(rest.lower())
-        counts.update(words)
-        cut_lines.append((whole, links, tags, words))
-    total = sum(counts.values())
-    mass = dict.fromkeys(("link", "tag", "label", "keyword", "prose"), 0.0)
-    chars = sum(len(x[0]) for x in cut_lines) or 1
-    content = {w: c for w, c in counts.items() if w not in _COMMON and not w.isdigit()}
-    often = max(3.0, 0.03 * total)
-    hot = {w for w, c in content.items() if c >= often}
-    # In scripts without spaces a keyword is a short run of characters, none of them a function word, that stands alone again and again.
-    runs = Counter(r for x in cut_lines for r in _RUN.findall(x[0]) if not any(c in _COMMON for c in r)) if any(w > "぀" for w in counts) else {}
-    hot_runs = {r for r, c in runs.items() if c >= 4}
-    function = sum(c for w, c in counts.items() if w in _COMMON)
-    for whole, links, tags, words in cut_lines:
-        n, k = len(whole), len(words)
-        common = sum(w in _COMMON for w in words)
-        repeated = sum(w in hot for w in words)
-        signs = sum(len(w) == 1 and w > "぀" for w in words) * 2 > k  # a script without spaces: characters repeat by themselves
-        if signs and hot_runs and "。" not in whole:
-            repeated = max(repeated, sum(len(r) for r in _RUN.findall(whole) if r in hot_runs))
-            signs = repeated < 0.45 * k
-        told = k >= 5 and common >= 0.15 * k  # running text beside what was taken out
-        if links and not told and links >= 0.4 * n:
-            mass["link"] += n
-        elif links and told and links > 0.6 * n:
-            mass["link"] += links
-            mass["prose"] += n - links
-        elif tags > 0.5 * n:
-            mass["tag"] += n
-        elif k and common <= 0.1 * k and (_CODE.search(whole) or any(w in OFFER_WORDS for w in words)) and _PRICE.search(whole):
-            mass["label"] += n
-        elif k and repeated >= 0.45 * k and common <= (0.1 if signs else 0.3) * k:
-            mass["keyword"] += n
-        elif k >= 3 and common >= 0.12 * k:
-            more = 0.0 if signs else max(0.0, repeated / k - 0.2)
-            mass["prose"] += n * (1 - more)
-            mass["keyword"] += n * more
-    tongues: Counter[str] = Counter()
-    for w, c in counts.items():
-        for t in _ALL.get(w, ()):
-            tongues[t] += c
-    best = tongues.most_common(1)
-    tongue = best[0][0] if best and best[0][1] >= max(3, 0.1 * total) else ""
-    if tongue in ("ja", "zh") and sum(counts[w] for w in FUNCTION_WORDS["ja"]) < 2:
-        tongue = "zh"
-    if not cut_lines:
-        return tongue, [0.0] * len(NAMES)
-    entropy = -sum(c / total * math.log(c / total) for c in counts.values()) / math.log(total) if total > 1 else 1.0
-    shares = [mass[x] / chars for x in ("link", "tag", "label", "keyword", "prose")]
-    top = sum(sorted(content.values(), reverse=True)[:6]) / total if total else 0.0
-    offers = sum(counts[w] for w in OFFER_WORDS if w in counts) / total if total else 0.0
-    return tongue, [*shares, function / total if total else 0.0, top, entropy, len(counts) / total if total else 1.0, offers]
-
-
-def page_features(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """key, lang, told and the features of every document with a text that isn't blank.
-
-    The language is told by the text (then ``told``), else by ``lang`` in any spelling, else it is ALL.
-    """
+_TOKEN = r"www\.[^\s|]+|{letters}+(?:://[^\s>|]+)?|{signs}+(?:[.,][0-9]+)*|\n|#[^\s#]+|\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)"
+TOKEN = _TOKEN.format(letters=r"\p{L}", signs=r"[\p{L}\p{N}]")  #: links, words, numbers, line ends and tags of lower-cased text
+LINE_END = r"\r\n?|[\u0085\u2028\u2029]"
+_CJK = "぀-ヿ㐀-鿿가-힯"
+_PARTICLES = "".join(sorted({w for g in ("ja", "zh") for w in FUNCTION_WORDS[g] if len(w) == 1}))
+#: Scripts without spaces: a particle, what stands between particles, or anything else.
+_PART = re.compile(rf"[{_PARTICLES}]|[{_CJK}]+?(?=[{_PARTICLES}]|[^{_CJK}]|$)|[^{_CJK}]+")
+_TELLS: dict[str, int] = {}
+for _n, _g in enumerate(LANGUAGES):
+    for _w in FUNCTION_WORDS[_g]:
+        _TELLS[_w] = _TELLS.get(_w, 0) | 1 << _n
+_END, _LINK, _TAG, _NUMBER, _WORD, _SIGNS = range(6)
+
+
+def _vocabulary(tokens: list[str]) -> tuple[np.ndarray, ...]:
+    """Of each distinct token the parts it falls into (offsets, parts), and of each distinct part kind, languages told, length."""
+    known: dict[str, int] = {}
+    offsets, parts, kinds, tells, sizes = [0], [], [], [], []
+    for t in tokens:
+        c = t[0]
+        if c == "\n":
+            found = ((t, _END),)
+        elif c == "#":
+            found = ((t, _TAG),)
+        elif c == "[" or "://" in t or t.startswith("www."):
+            found = ((t, _LINK),)
+        elif c < "぀":
+            found = ((t, _NUMBER if any(x.isdigit() for x in t) else _WORD),)
+        else:
+            found = tuple((x, _SIGNS if x[0] >= "぀" else _WORD) for x in _PART.findall(t))
+        for x, kind in found:
+            at = known.get(x)
+            if at is None:
+                at = known[x] = len(kinds)
+                kinds.append(kind)
+                tells.append(_TELLS.get(x, 0) if kind >= _WORD else 0)
+                sizes.append(len(x))
+            parts.append(at)
+        offsets.append(len(parts))
+    return np.array(offsets, np.int32), np.array(parts, np.int32), np.array(kinds, np.int8), np.array(tells, np.int32), np.array(sizes, np.int64)
+
+
+def measure(texts: pa.ListArray) -> tuple[list[str], np.ndarray]:
+    """The language that the function words tell (ALL if they tell none) and the features NAMES of texts as lists of TOKEN (no nulls)."""
+    n = len(texts)
+    coded = texts.flatten().dictionary_encode()
+    offsets, parts, kinds, tells, sizes = _vocabulary(coded.dictionary.to_pylist())
+    at = texts.offsets.to_numpy() - texts.offsets[0].as_py()
+    part = pa.ListArray.from_arrays(offsets, parts).take(coded.indices).flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[coded.indices.to_numpy()])])[at]
+    doc = np.repeat(np.arange(n), np.diff(ends))
+    kind, told = kinds[part], tells[part]
+    word = kind >= _WORD
+    line = np.cumsum(kind == _END) + doc
+    mass = np.where(kind == _END, 0.0, sizes[part] + 1.0)
+    weight = np.where(kind == _SIGNS, np.maximum(1.0, sizes[part] / 2), np.where(kind >= _NUMBER, 1.0, 0.0))
+    words = np.bincount(doc, weight, n)
+
+    by_language = np.stack([np.bincount(doc, told >> g & 1, n) for g in range(len(LANGUAGES))], 1)
+    best = by_language.argmax(1)
+    ja, zh = LANGUAGES.index("ja"), LANGUAGES.index("zh")
+    best = np.where((best == ja) | (best == zh), np.where(by_language[:, ja] < 2, zh, ja), best)
+    enough = by_language.max(1) >= np.maximum(3, 0.1 * words)
+    languages = [LANGUAGES[b] if e else ALL for b, e in zip(best, enough)]
+
+    # The histogram of each text's words.
+    counted = np.flatnonzero(kind >= _NUMBER)
+    pair, where, count = np.unique(doc[counted].astype(np.int64) * max(len(kinds), 1) + part[counted], return_inverse=True, return_counts=True)
+    of, which = np.divmod(pair, max(len(kinds), 1))
+    total = np.bincount(of, count, n)
+    share = count / np.maximum(total, 1)[of]
+    entropy = -np.bincount(of, share * np.log(share), n) / np.log(np.maximum(total, 2))
+    content = (tells[which] == 0) & (kinds[which] != _NUMBER)
+    often = np.zeros(len(part), bool)
+    often[counted] = (content & (count >= np.maximum(3, 0.03 * total[of])))[where]
+    again = count * (content & (count >= 2))
+    order = np.lexsort((-again, of))
+    place = np.arange(len(order)) - np.searchsorted(of[order], np.arange(n))[of[order]]
+    top = np.bincount(of[order], again[order] * (place < 6), n) / np.maximum(total, 1)
+
+    lines = int(line[-1]) + 1 if len(line) else 0
+    of_line = np.zeros(lines, np.int64)
+    of_line[line] = doc
+    line_mass, line_words = np.bincount(line, mass, lines), np.maximum(np.bincount(line, weight, lines), 1)
+    line_function = np.bincount(line, (told > 0) * weight, lines)
+    bare = np.clip(1 - line_function / line_words / 0.12, 0, 1)
+    repeated = np.clip((np.bincount(line, often * weight, lines) / line_words - 0.1) / 0.4, 0, 1)
+    undescribed = np.clip(1 - line_function / 4, 0, 1)[line]  # beside no sentence
+    whole = np.maximum(np.bincount(doc, mass, n), 1)
+    return languages, np.stack(
+        [
+            *(np.bincount(doc, mass * (kind == k) * undescribed, n) / whole for k in (_LINK, _TAG, _NUMBER)),
+            np.bincount(of_line, line_mass * repeated, n) / whole,
+            np.bincount(of_line, line_mass * bare, n) / whole,
+            np.bincount(doc, (told > 0) * weight, n) / np.maximum(words, 1),
+            entropy,
+            np.bincount(of, minlength=n) / np.maximum(total, 1),
+            np.log1p(np.bincount(of_line, line_mass > 0, n)) / np.log1p(whole),
+            top,
+        ],
+        1,
+    )
+
+
+def tokens_of(texts: list[str]) -> pa.ListArray:
+    """TOKEN of texts, as the JVM finds them."""
+    found = re.compile(_TOKEN.format(letters=r"[^\W\d_]", signs=r"[^\W_]"))
+    return pa.array([found.findall(re.sub(LINE_END, "\n", x).lower()) for x in texts], pa.list_(pa.string()))
+
+
+def made_up_pages() -> tuple[list[str], list[str]]:
+    """Pages that consist of nothing but what the definition names (repeated keywords, links without a description, tags, product
+    strings), and pages as unusual that are none: records, code, words and numbers by themselves."""
+    name, more = "kelvor mandi", "one two red blue new big".split() * 6
+    bad = [
+        ", ".join(f"{x} {name}" if n % 2 else f"{name} {x}" for n, x in enumerate(more)),
+        " ".join([f"Order {name}, compare {name}, and get {name} with {name} today."] * 12),
+        "、".join(["商品", "商品購買"] * 20),
+        "\n".join(f"https://kelvor{n}.example/a{n}/b{n}" for n in range(24)),
+        "\n".join(f"- [here {n}](https://kelvor{n}.example/a{n})" for n in range(24)),
+        "\n".join(f"| {name} | https://kelvor{n}.example/a{n} |" for n in range(24)),
+        "\n".join(f"[[kelvor {n}]]" for n in range(30)),
+        " ".join(f"#kelvor{n}" for n in range(40)),
+        "\n".join(f"ab{n}c {name} {10 + n}.99 #item{n % 5}" for n in range(24)),
+    ]
+    letters = "abcdefghijklmnopqrstuvwx"
+    good = [
+        "\n".join(f"{n};kel{x}vor;2024-01-{n};{n * 37}.{n}" for n, x in enumerate(letters)),
+        "\n".join(f"def kel{x}(man{x}): return vor{x}[{n}]" for n, x in enumerate(letters)),
+        "kelvor", "kelvor mandi tal", "12 13 14", "商品", "?!",
+    ]
+    return bad, good
+
+
+def page_features(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, lang (told by the text, else ALL) and the features of every document with a text that isn't blank."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(x) for x in batch.column(1).to_pylist()]
-            given = [(x or "").strip().lower()[:2] for x in batch.column(2).to_pylist()]
-            langs = [t or (g if g in FUNCTION_WORDS else ALL) for (t, _), g in zip(found, given)]
-            values = np.array([v for _, v in found], float).reshape(len(found), len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array([t != "" for t, _ in found], pa.bool_()), *[pa.array(values[:, i]) for i in range(len(NAMES))]], names=["key", "lang", "told", *NAMES])
+            ends = batch.column(1).offsets.to_numpy()
+            begin = 0
+            while begin < len(batch):
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + TOKENS_AT_ONCE, "right")) - 1)
+                languages, values = measure(batch.column(1).slice(begin, end - begin))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(languages), *[pa.array(values[:, i]) for i in range(len(NAMES))]], names=["key", "lang", *NAMES])
+                begin = end
 
     kind = docs.schema[key].dataType.simpleString()
-    some = spread(docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")), "key").where(F.col("text").rlike(r"\S"))
-    return some.mapInArrow(run, f"key {kind}, lang string, told boolean, " + ", ".join(f"{x} double" for x in NAMES))
+    some = spread(docs.select(docs[key].alias("key"), docs[text].alias("text")), "key").where(F.col("text").rlike(r"\S"))
+    found = some.select("key", F.regexp_extract_all(F.lower(F.regexp_replace("text", LINE_END, "\n")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    return found.mapInArrow(run, f"key {kind}, lang string, " + ", ".join(f"{x} double" for x in NAMES))
 
 
 def robust_model(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Centre and whitening matrix of each language with documents enough that tell it, and of ALL over all rows of ``table``."""
-    table = table.select(F.explode(F.array_compact(F.array(F.when(F.col("told"), F.col("lang")), F.lit(ALL)))).alias("lang"), *NAMES)
-    centres = {r["lang"]: np.array(r["m"]) for r in table.groupBy("lang").agg(F.array(*[F.percentile_approx(x, 0.5, 2000) for x in NAMES]).alias("m"), F.count(F.lit(1)).alias("n")).collect() if r["n"] >= FEW or r["lang"] == ALL}
-    if not centres:
+    """Centre and whitening matrix of ALL, over all rows of ``table``, and of each language that some tell, drawn towards ALL as if by SHRINK documents."""
+    spark, d = table.sparkSession, len(NAMES)
+    table = table.select(F.explode(F.array_distinct(F.array("lang", F.lit(ALL)))).alias("lang"), *NAMES)
+
+    def medians(df: DataFrame, of) -> dict[str, tuple[int, np.ndarray]]:
+        rows = df.groupBy("lang").agg(F.array(*[F.percentile_approx(of(x), 0.5, 2000) for x in NAMES]).alias("m"), F.count(F.lit(1)).alias("n")).collect()
+        return {r["lang"]: (r["n"], np.array(r["m"])) for r in rows}
+
+    def drawn(found: dict[str, tuple[int, np.ndarray]]) -> dict[str, np.ndarray]:
+        return {k: v if k == ALL else (n * v + SHRINK * found[ALL][1]) / (n + SHRINK) for k, (n, v) in found.items()}
+
+    def beside(df: DataFrame, values: dict[str, np.ndarray], prefix: str) -> DataFrame:
+        # One row a language.
+        return df.join(F.broadcast(spark.createDataFrame([(k, *map(float, v)) for k, v in values.items()], "lang string, " + ", ".join(f"{prefix}{x} double" for x in NAMES))), "lang")
+
+    if not (found := medians(table, F.col)):
         return {}
-    spark = table.sparkSession
-    middle = F.broadcast(spark.createDataFrame([(k, *map(float, v)) for k, v in centres.items()], "lang string, " + ", ".join(f"m_{x} double" for x in NAMES)))
-    away = table.join(middle, "lang").select("lang", *[(F.col(x) - F.col(f"m_{x}")).alias(x) for x in NAMES])
-    spreads = {r["lang"]: np.array(r["m"]) for r in away.groupBy("lang").agg(F.array(*[F.percentile_approx(F.abs(x), 0.5, 2000) for x in NAMES]).alias("m")).collect()}
-    floor = np.array([FLOOR[x] for x in NAMES])
-    scales = {k: np.maximum(1.4826 * v, floor) for k, v in spreads.items()}
-    scale = F.broadcast(spark.createDataFrame([(k, *map(float, v)) for k, v in scales.items()], "lang string, " + ", ".join(f"s_{x} double" for x in NAMES)))
-    wrapped = away.join(scale, "lang").select("lang", *[F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col(x) / F.col(f"s_{x}"))).alias(x) for x in NAMES])
+    centres = drawn(found)
+    away = beside(table, centres, "m_").select("lang", *[(F.col(x) - F.col(f"m_{x}")).alias(x) for x in NAMES])
+    scales = {k: np.maximum(1.4826 * v, FLOOR) for k, v in drawn(medians(away, lambda x: F.abs(F.col(x)))).items()}
+    wrapped = beside(away, scales, "s_").select("lang", *[F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col(x) / F.col(f"s_{x}"))).alias(x) for x in NAMES])
     cross = [F.avg(F.col(a) * F.col(b)) for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
-    model = {}
-    for r in wrapped.groupBy("lang").agg(F.array(*cross).alias("c"), F.array(*[F.avg(x) for x in NAMES]).alias("a")).collect():
-        d = len(NAMES)
+    scatters = {}
+    for r in wrapped.groupBy("lang").agg(F.array(*cross).alias("c"), F.array(*[F.avg(x) for x in NAMES]).alias("a"), F.count(F.lit(1)).alias("n")).collect():
         scatter = np.zeros((d, d))
         scatter[np.tril_indices(d)] = r["c"]
-        scatter = scatter + np.tril(scatter, -1).T - np.outer(r["a"], r["a"])
+        scatters[r["lang"]] = (r["n"], scatter + np.tril(scatter, -1).T - np.outer(r["a"], r["a"]))
+    model = {}
+    for g, scatter in drawn(scatters).items():
         scatter = 0.8 * scatter + 0.2 * np.diag(np.maximum(np.diag(scatter), 0.3))
         values, vectors = np.linalg.eigh(scatter)
         whiten = vectors @ np.diag(np.maximum(values, 0.05) ** -0.5) @ vectors.T
-        model[r["lang"]] = (centres[r["lang"]], whiten / scales[r["lang"]])
+        model[g] = (centres[g], whiten / scales[g])
     return model
 
 
-def _inputs(raw: np.ndarray, white: np.ndarray) -> np.ndarray:
-    """What the plane is laid over: the shares themselves, the whitened deviations (damped) and the distance."""
-    distance = (white**2).sum(1)
-    return np.column_stack([raw, np.tanh(white / 6), np.log1p(distance) / 4, np.ones(len(raw))])
-
-
-def fit_direction(raw: np.ndarray, white: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Weights of the plane: ridge logistic regression drawn towards the definition, twice over without the labels that contradict it most."""
-    x = _inputs(raw, white)
-    prior = np.zeros(x.shape[1])
-    for name, w in PRIOR.items():
-        prior[NAMES.index(name)] = w
-    prior[-1] = -PRIOR_CUT
-    w = prior.copy()
-    keep = np.ones(len(x), bool)
-    ridge = np.full(x.shape[1], 0.6)
-    for _ in range(3):
-        a, y = x[keep], target[keep]
-        for _ in range(30):
+def whitened(model: dict, languages: list[str], values: np.ndarray) -> np.ndarray:
+    """Deviations from the norm of the language; their squared lengths are the squared Mahalanobis distances."""
+    out = np.zeros_like(values)
+    langs = np.array(languages)
+    for g in set(languages):
+        (centre, matrix), at = model.get(g) or model[ALL], langs == g
+        out[at] = (values[at] - centre) @ matrix.T
+    return out
+
+
+def fit_direction(white: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """The spam direction (a unit vector) and the offset along it, by ridge logistic regression, refitted without the labels that contradict it most."""
+    x = np.column_stack([white / 10, np.ones(len(white))])
+    w, keep = np.zeros(x.shape[1]), np.ones(len(x), bool)
+    for _ in range(4):
+        a, y, q = x[keep], target[keep], weight[keep]
+        for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.diag(ridge)
-            step = np.linalg.solve(h, a.T @ (y - p) - ridge * (w - prior))
-            w = w + np.clip(step, -2, 2)
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        keep = np.abs(target - p) < 0.85
-    return w
+            h = (a * (q * (p * (1 - p) + 1e-6))[:, None]).T @ a + 0.1 * np.eye(len(w))
+            w = w + np.clip(np.linalg.solve(h, a.T @ (q * (y - p)) - 0.1 * w), -2, 2)
+        keep = np.abs(target - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))) < 0.85
+    long = np.linalg.norm(w[:-1]) / 10
+    return w[:-1] / 10 / long, float(-w[-1] / long)
 
 
-def spam_pages(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, distance, score of the pages flagged.
+def spam_direction(model: dict, languages: list[str], values: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Direction and offset from the outliers among reviewed pages, and from made-up ones: whole, spam mixed with a quarter and three quarters of the usual, and the usual."""
+    white = whitened(model, languages, values)
+    out = (white**2).sum(1) > CHI2
+    bad, good = (measure(tokens_of(pages))[1] for pages in made_up_pages())
+    mixed = [(matrix @ ((p - centre) * part), float(part > 0.5)) for centre, matrix in model.values() for p in bad for part in (1.0, 0.75, 0.25)]
+    mixed += [(matrix @ (p - centre), 0.0) for centre, matrix in model.values() for p in good]
+    mixed += [(np.zeros(len(NAMES)), 0.0)] * len(model)
+    x = np.vstack([white[out], *[v for v, _ in mixed]])
+    y = np.concatenate([target[out], [t for _, t in mixed]])
+    return fit_direction(x, y, np.concatenate([np.ones(out.sum()), np.full(len(mixed), MADE_UP / len(mixed))]))
+
+
+def spam_pages(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, distance, along (the distance in the spam direction) of the pages flagged.
 
     ``labels`` has the key and ``label``; pages labelled neither ``spam`` nor ``ok``, or both, teach nothing, and without
-    labels the definition alone gives the direction. Null, empty and blank texts are never flagged; repeated texts are
+    labels the made-up pages alone give the direction. Null, empty and blank texts are never flagged; repeated texts are
     judged alike; empty tables give no rows; other columns are ignored. Whole texts are read, of any length.
     """
-    ship(docs.sparkSession)
-    table = cut(page_features(docs, key, text, lang))
+    table = cut(page_features(docs, key, text))
     model = robust_model(table)
     said = labels.where(F.col("label").isin("spam", "ok")).groupBy(F.col(key).alias("key")).agg(F.avg((F.col("label") == "spam").cast("double")).alias("y")).where("y in (0.0, 1.0)")
     taught = table.join(said, "key").orderBy(F.xxhash64("key")).limit(LABELS_MOST).toPandas()
-    raw = taught[NAMES].to_numpy(float).reshape(-1, len(NAMES))
-    norms = [model.get(g) or model[ALL] for g in taught["lang"]]
-    white = np.array([m @ (v - c) for (c, m), v in zip(norms, raw)]).reshape(-1, len(NAMES))
-    weights = fit_direction(raw, white, taught["y"].to_numpy(float))
+    values = taught[NAMES].to_numpy(float).reshape(-1, len(NAMES))
+    direction, offset = spam_direction(model, taught["lang"].tolist(), values, taught["y"].to_numpy(float)) if model else (np.zeros(len(NAMES)), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.column_stack([batch.column(x).to_numpy() for x in NAMES]) if batch.num_rows else np.zeros((0, len(NAMES)))
-            white = np.zeros_like(raw)
-            langs = np.array(batch.column("lang").to_pylist())
-            for g in set(langs.tolist()):
-                (centre, matrix), at = model.get(g) or model[ALL], langs == g
-                white[at] = (raw[at] - centre) @ matrix.T
-            distance, score = (white**2).sum(1), _inputs(raw, white) @ weights
-            flag = (distance > CHI2) & (score > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("key").filter(pa.array(flag)), pa.array(distance[flag]), pa.array(score[flag])], names=[key, "distance", "score"])
+            values = np.column_stack([batch.column(x).to_numpy() for x in NAMES])
+            white = whitened(model, batch.column("lang").to_pylist(), values)
+            distance, along = np.sqrt((white**2).sum(1)), white @ direction
+            flag = (distance**2 > CHI2) & (along > offset)
+            yield pa.RecordBatch.from_arrays([batch.column("key").filter(pa.array(flag)), pa.array(distance[flag]), pa.array(along[flag])], names=[key, "distance", "along"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return table.mapInArrow(run, f"`{key}` {kind}, distance double, score double")
+    return table.mapInArrow(run, f"`{key}` {kind}, distance double, along double")

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from lodegraph.llm.queries import QUERIES
-from lodegraph.llm.spam import NAMES, features, fit_direction, page_features, spam_pages
+from lodegraph.llm.spam import ALL, CHI2, NAMES, fit_direction, made_up_pages, measure, page_features, robust_model, spam_direction, spam_pages, tokens_of, whitened
 
 LABELS = "doc_id bigint, label string"
 DOCS = "doc_id bigint, text string, lang string, score double, key string"
@@ -73,26 +75,71 @@ def test_empty_tables(spark):
     assert flagged(spark, [], [(1, "spam")]) == set()
 
 
-def test_features():
-    tongue, values = features("The harbour of the ferry is not what we had expected, and nobody knew why it is here.")
-    v = dict(zip(NAMES, values))
-    assert tongue == "en" and v["prose"] == 1.0 and v["link"] == 0.0
-    assert dict(zip(NAMES, features("https://a.example/b\n[[x]], [[y|z]]")[1]))["link"] == 1.0
-    assert dict(zip(NAMES, features("- https://a.example/b - The note on it says that we have moved the ferry to the harbour")[1]))["link"] < 0.5
-    assert dict(zip(NAMES, features("#a #b#c #d")[1]))["tag"] == 1.0
-    assert features("没有人知道目录为什么改名。索引里缺少记录。")[0] == "zh" and features("新しい目次を隣に置く。誰もその理由を覚えていない。")[0] == "ja"
-    assert features(None) == features("") == ("", [0.0] * len(NAMES))
-
+def told(text):
+    (language,), values = measure(tokens_of([text]))
+    return language, dict(zip(NAMES, values[0]))
 
-def test_direction_without_labels():
-    import numpy as np
 
-    w = fit_direction(np.zeros((0, len(NAMES))), np.zeros((0, len(NAMES))), np.zeros(0))
-    assert w[NAMES.index("link")] > 0 > w[-1]
+def test_features():
+    language, v = told("The harbour of the ferry is not what we had expected, and nobody knew why it is here.")
+    assert language == "en" and v["link"] == v["tag"] == v["bare"] == v["repeat"] == 0 and v["function"] > 0.4
+    assert told("https://a.example/b\n[[x]]\r\n[[y|z]]")[1]["link"] == 1.0
+    assert told("- https://a.example/b - The note on it says that we have moved the ferry to the harbour")[1]["link"] == 0.0
+    assert told("#a #b#c #d")[1]["tag"] == 1.0
+    assert told("没有人知道目录为什么改名。索引里缺少记录。")[0] == "zh" and told("新しい目次を隣に置く。誰もその理由を覚えていない。")[0] == "ja"
+    v = told("cheap ledger, best ledger, ledger cheap, ledger online " * 9)[1]
+    assert v["repeat"] == 1.0 and v["bare"] == 1.0 and v["top"] > 0.9
+    assert told("?!")[0] == told("12")[0] == ALL and (measure(tokens_of(["", "?!"]))[1] >= 0).all()
+
+
+def test_features_in_slices_and_as_in_the_jvm(spark):
+    pages = sum(made_up_pages(), []) + [prose(random.Random(i), 5) for i in range(30)]
+    rows = [(i, x, None, 0.0, "k") for i, x in enumerate(pages)]
+    got = {r["key"]: [r[x] for x in NAMES] for r in page_features(spark.createDataFrame(rows, DOCS), "doc_id", "text").collect()}
+    _, want = measure(tokens_of(pages))
+    assert np.allclose([got[i] for i in range(len(pages))], want)
+
+
+def test_direction():
+    rnd = np.random.default_rng(3)
+    target = (rnd.random(400) < 0.3).astype(float)
+    white = rnd.normal(0, 2, (400, len(NAMES))) + np.outer(target * 30 + 5, np.eye(len(NAMES))[2])
+    wrong = np.where(rnd.random(400) < 0.05, 1 - target, target)
+    direction, offset = fit_direction(white, wrong, np.ones(400))
+    assert abs(np.linalg.norm(direction) - 1) < 1e-9 and direction[2] == direction.max() and offset > 0
+    assert ((white @ direction > offset) == target).mean() > 0.97
+
+
+def test_distance_and_direction_are_both_needed(spark):
+    """Without the direction honest outliers are flagged, without the distance ordinary pages are; both together do better than either."""
+    rows, truth = corpus(8, 900)
+    rnd = random.Random(9)
+    for i in range(900, 980):  # honest outliers: code and records
+        code = "\n".join(f"def {rnd.choice(NOUNS)}_{n}({rnd.choice(NOUNS)}): return {rnd.choice(NOUNS)}[{n}] * {rnd.randrange(99)}" for n in range(12))
+        records = "\n".join(f"{n};{rnd.choice(NOUNS)}-{rnd.randrange(999)};{rnd.random():.4f};{rnd.choice(VERBS)}{rnd.randrange(999)}" for n in range(20))
+        rows.append((i, code if i % 2 else records, None, 0.0, "k"))
+    table = page_features(spark.createDataFrame(rows, DOCS), "doc_id", "text").toPandas()
+    model = robust_model(spark.createDataFrame(table))
+    values, langs = table[NAMES].to_numpy(), table["lang"].tolist()
+    spam = table["key"].isin(truth).to_numpy()
+    labelled = table["key"].to_numpy() % 4 == 0
+    white = whitened(model, langs, values)
+    far = (white**2).sum(1) > CHI2
+    direction, offset = spam_direction(model, [x for x, m in zip(langs, labelled) if m], values[labelled], spam[labelled].astype(float))
+    unit = white / np.linalg.norm(white, axis=1, keepdims=True).clip(1e-9)
+    cosine, edge = fit_direction(unit[labelled & far], spam[labelled & far].astype(float), np.ones((labelled & far).sum()))
+
+    def quality(flag):
+        hit = (flag & spam & ~labelled).sum()
+        return 2 * hit / ((flag & ~labelled).sum() + (spam & ~labelled).sum())
+
+    both = quality(far & (white @ direction > offset))
+    assert both >= 0.95
+    assert quality(far) <= both - 0.1 and quality(unit @ cosine > edge) <= both - 0.1
 
 
 def test_whole_table(spark):
     d = "/root/testdata/sf0.001"
     assert QUERIES["p8_found"](spark, d).columns == ["doc_id"]
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    assert page_features(docs, "doc_id", "text", "lang").count() <= docs.count()
+    assert page_features(docs, "doc_id", "text").count() <= docs.count()
