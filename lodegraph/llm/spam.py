@@ -41,6 +41,7 @@ SHRINK = 50  #: documents that the norm over all counts as in that of a language
 LABELS_MOST = 50_000  #: reviewed pages used at most
 MADE_UP = 4.0  #: reviewed pages that all made-up ones together count as
 CHI2 = 29.6  #: the 0.999 quantile of chi-square with ten degrees of freedom
+RIDGE = 0.1
 TOKENS_AT_ONCE = 400_000  #: only bounds memory
 
 _TOKEN = r"www\.[^\s|]+|{letters}+(?:://[^\s>|]+)?|{signs}+(?:[.,][0-9]+)*|\n|#[^\s#]+|\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)"
@@ -250,10 +251,17 @@ def fit_direction(white: np.ndarray, target: np.ndarray, weight: np.ndarray) ->
     w, keep = np.zeros(x.shape[1]), np.ones(len(x), bool)
     for _ in range(4):
         a, y, q = x[keep], target[keep], weight[keep]
+
+        def loss(w: np.ndarray) -> float:
+            return float((q * np.logaddexp(0, (1 - 2 * y) * (a @ w))).sum() + RIDGE / 2 * w @ w)
+
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            h = (a * (q * (p * (1 - p) + 1e-6))[:, None]).T @ a + 0.1 * np.eye(len(w))
-            w = w + np.clip(np.linalg.solve(h, a.T @ (q * (y - p)) - 0.1 * w), -2, 2)
+            h = (a * (q * p * (1 - p))[:, None]).T @ a + RIDGE * np.eye(len(w))
+            step, size = np.linalg.solve(h, a.T @ (q * (y - p)) - RIDGE * w), 1.0
+            while size > 1e-6 and loss(w + size * step) > loss(w):
+                size /= 2
+            w = w + size * step
         keep = np.abs(target - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))) < 0.85
     long = np.linalg.norm(w[:-1]) / 10
     return w[:-1] / 10 / long, float(-w[-1] / long)
