@@ -124,6 +124,27 @@ def test_set_join_against_brute_force(spark, small, threshold):
     assert len(got) == len(set(got)) and set(got) == jaccard_pairs(sets, threshold)
 
 
+@pytest.mark.parametrize("n,common", [(150, 17), (400, 20)])
+def test_set_join_of_a_cluster(spark, n, common):
+    """Many distinct sets that share all values but one are compared once, not in every combination of what they share."""
+    sets = {f"s{i}": {f"c{j}" for j in range(common)} | {f"own{i}"} for i in range(n)} | {f"t{i}": {f"c{j}" for j in range(3)} | {f"o{i}-{j}" for j in range(common)} for i in range(80)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "node_id string, values array<string>")
+    members, classes = set_joins.classes_of(df)
+    levels = []
+    longer, set_joins._longer = set_joins._longer, lambda rows, level: levels.append(level) or longer(rows, level)
+    try:
+        raw = [tuple(r) for r in set_joins.similar_sets(classes).collect()]
+    finally:
+        set_joins._longer = longer
+    assert len(raw) == len(set(raw)) == n * (n - 1) // 2 and max(levels) <= 4
+
+
+def test_set_join_of_a_large_cluster(spark):
+    own = F.array(F.concat(F.lit("own"), "id"))
+    df = spark.range(4000).select(F.concat(F.lit("s"), "id").alias("node_id"), F.concat(F.array(*[F.lit(f"c{j}") for j in range(20)]), own).alias("values"))
+    assert set_joins.similar_sets(set_joins.classes_of(df)[1]).count() == 4000 * 3999 // 2
+
+
 def test_set_join_of_dirty_values(spark):
     rows = [
         ("a", [" #To_Do ", "x y", None, "", "  ", "B", "b", "c"]), ("b", ["to-do", "X-Y", "b", "C"]), ("c", None), ("d", []), (None, ["to-do", "x-y", "b", "c"]), ("e", ["to-do", "x-y", "b"]), ("f", ["##to-do", "x-y", "b", "c", "z" * 9999]),
