@@ -5,64 +5,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.session import cut
+from lodegraph.session import cut, shuffle_partitions
 
-#: Keys a sketch tracks; the heavy list, and so what is broadcast, never has more entries than HEAVY_MOST.
-SKETCH_ITEMS, HEAVY_MOST = 8192, 1024
+#: Keys on the heavy list at most: what is broadcast are their 64-bit hashes, so never more than 800 kB.
+HEAVY_MOST = 100_000
+#: A key is heavy from this part of an even share of a partition on.
+PART = 4
 
 
-def heavy_hitters(df: DataFrame, key: str, share: float = 0.002, most: int = HEAVY_MOST, items: int = SKETCH_ITEMS) -> DataFrame:
-    """The keys that a frequent-items sketch over all rows puts at ``share`` of them or more: column ``key``, at most ``most`` rows.
+def heavy_hitters(df: DataFrame, key: str, share: float, most: int = HEAVY_MOST) -> DataFrame:
+    """Hashes (column ``heavy``) of the keys that a frequent-items sketch over all rows puts at ``share`` of them or more, at most ``most``.
 
-    One pass, a sketch of fixed size per task, merged. Nulls are ignored; an empty table gives no rows.
+    One pass, a sketch of fixed size per task, merged; it holds hashes, whatever the keys' lengths. Nulls are ignored; an
+    empty table gives no rows.
     """
+    wanted = int(min(most, max(16, 2 / share)))
+    items = int(min(1_000_000, max(1024, 16 * wanted)))
     sketch = df.where(df[key].isNotNull()).agg(
-        F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(items)).alias("top"), F.count(F.lit(1)).alias("n")
+        F.call_function("approx_top_k", F.xxhash64(df[key]), F.lit(wanted), F.lit(items)).alias("top"), F.count(F.lit(1)).alias("n")
     )
     return (
         sketch.select("n", F.explode("top").alias("t"))
         .where(F.col("t.count") >= F.greatest(F.lit(2.0), F.col("n") * share))
-        .select(F.col("t.item").alias("key"))
+        .select(F.col("t.item").alias("heavy"))
     )
 
 
-def per_key_figures(df: DataFrame, key: str, count_distinct: str, distinct_on: list[str], share: float = 0.002, salts: int = 64) -> DataFrame:
+def per_key_figures(df: DataFrame, key: str, count_distinct: str, distinct_on: list[str], share: float | None = None) -> DataFrame:
     """key_value, n_rows, n_from of every key: its rows distinct in ``distinct_on``, and its distinct ``count_distinct``.
 
-    Heavy keys are found by a sketch over all rows; their rows get the list by broadcast join and are spread over
-    ``salts`` parts by a hash of ``count_distinct``, so that the parts' figures simply add up. The other keys take one
-    ordinary shuffle by key, within which repeats are dropped and figures made. Both are united. Results are exact
-    whatever the sketch says; it only decides which way a key takes.
+    Heavy keys are those with ``share`` of all rows or more by a sketch over all rows; by default a quarter of an even
+    share of a shuffle partition, so that no other key can unbalance one, however large the data. Their rows get the list by
+    broadcast join. They are aggregated map-side by the whole distinct row before they move, spread by that whole row, then
+    by (key, ``count_distinct``), then by key: repeats never move, and neither a hot key nor a hot pair lies in one part
+    before it is a few rows. The other keys take one ordinary shuffle by key, within which repeats are dropped and figures
+    made. Both are united. Results are exact whatever the sketch says; it only decides which way a key takes.
 
     Rows with a null or empty key are left aside; a null ``count_distinct`` counts among the rows but not among the
     distinct values. Repeats count once; an empty table gives no rows; other columns are ignored.
     """
     columns = list(dict.fromkeys([key, count_distinct, *distinct_on]))
     rows = df.where(df[key].isNotNull() & (df[key] != "")).select(*[df[c] for c in columns])
+    share = share or 1 / (PART * shuffle_partitions(df.sparkSession))
     # Written once, at most HEAVY_MOST rows, so that the two ways don't run the sketch again.
-    heavy = cut(heavy_hitters(rows, key, share))
-    marked = rows.join(F.broadcast(heavy), rows[key] == heavy["key"], "left")
-    hot = marked.where(F.col("key").isNotNull()).drop("key")
-    light = rows.join(F.broadcast(heavy), rows[key] == heavy["key"], "left_anti")
-    figures = [F.count(F.lit(1)).alias("n_rows"), F.countDistinct(count_distinct).alias("n_from")]
-
-    # Hot: every row goes to its part before repeats are dropped there, so that each part holds whole values of
-    # count_distinct; all rows of one (key, count_distinct) are in one part, however many there are.
-    salted = hot.withColumn("salt", F.pmod(F.xxhash64(count_distinct), F.lit(salts)))
-    parts = _within(salted, [key, "salt"], [*columns, "salt"], count_distinct)
-    hot_figures = parts.groupBy(key).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_from").alias("n_from"))
-    # Light: one shuffle by key serves the removal of repeats and the figures.
-    light_figures = _within(light, [key], columns, count_distinct)
-    return hot_figures.unionByName(light_figures.select(key, "n_rows", "n_from")).select(
-        F.col(key).alias("key_value"), F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_from").cast("bigint").alias("n_from")
-    )
+    heavy = F.broadcast(cut(heavy_hitters(rows, key, share)))
+    on = F.xxhash64(rows[key]) == heavy["heavy"]
+    hot, light = rows.join(heavy, on, "left_semi"), rows.join(heavy, on, "left_anti")
+    united = hot_figures(hot, key, count_distinct, columns).unionByName(_light_figures(light, key, count_distinct, columns))
+    return united.select(F.col(key).alias("key_value"), F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_from").cast("bigint").alias("n_from"))
+
+
+def hot_figures(rows: DataFrame, key: str, count_distinct: str, columns: list[str]) -> DataFrame:
+    """key, n_rows, n_from over the distinct ``columns``, in three aggregations that each combine map-side."""
+    per_value = rows.dropDuplicates(columns).groupBy(key, count_distinct).agg(F.count(F.lit(1)).alias("n"))
+    return per_value.groupBy(key).agg(F.sum("n").alias("n_rows"), F.count(count_distinct).alias("n_from"))
 
 
-def _within(df: DataFrame, by: list[str], columns: list[str], count_distinct: str) -> DataFrame:
-    """Figures by ``by`` over the distinct ``columns``, all after one exchange by ``by``."""
-    kept = df.repartition(*by).dropDuplicates(columns)
-    per_value = kept.groupBy(*dict.fromkeys([*by, count_distinct])).agg(F.count(F.lit(1)).alias("n"))
-    return per_value.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.count(count_distinct).alias("n_from"))
+def _light_figures(rows: DataFrame, key: str, count_distinct: str, columns: list[str]) -> DataFrame:
+    """The same after one exchange by key, for keys none of which fills a good part of a partition."""
+    per_value = rows.repartition(key).dropDuplicates(columns).groupBy(key, count_distinct).agg(F.count(F.lit(1)).alias("n"))
+    return per_value.groupBy(key).agg(F.sum("n").alias("n_rows"), F.count(count_distinct).alias("n_from"))
 
 
 def heavy_share_of(figures: DataFrame, share: float) -> DataFrame:
