@@ -3,8 +3,9 @@
 The keys of all references and parents are dictionary-encoded as (bucket, position): the bucket is a hash range of the
 keys, the position a dense rank within it. References become sparse bitmaps per source, bucket and period, parents become
 bitmaps per bucket and month of arrival. A bitmap is kept as its non-empty 64-bit words, so it is compressed, aggregates
-map-side with ``bit_or`` and never leaves whole-stage code. ``reference AND NOT parent`` over whole words leaves the bits
-of orphans, which alone are decoded back to keys.
+map-side with ``bit_or``. A second bitmap marks references that are earlier than the parent's arrival. ``reference AND NOT
+parent`` over whole words leaves the bits of orphans, which alone are decoded back to keys: each word travels with the part
+of the dictionary that its own bits stand for, at most 64 entries, so that the dictionary is made and moved once.
 """
 
 from __future__ import annotations
@@ -103,17 +104,22 @@ def orphan_references(references: list[Reference], parents: DataFrame, buckets:
         .withColumn("pos", F.dense_rank().over(by_bucket) - 1)
         .withColumn("born", F.max("born").over(by_key))
     )
-    # Bitmaps: the non-empty words of each (source, bucket, month); bucket is already the partitioning.
-    bit = _bit(F.col("pos"))
+    # Bitmaps: the non-empty words of each (source, bucket, month); bucket is already the partitioning. A (source, key,
+    # month) is one row, so a word's list of keys has no more entries than the word has bits.
+    bit, zero = _bit(F.col("pos")), F.lit(0).cast("bigint")
+    is_parent = F.col("src") < 0
     words = (
         coded.withColumn("word", F.floor(F.col("pos") / WORD).cast("int"))
         .groupBy("bucket", "word", "src", "month")
-        .agg(F.bit_or(bit).alias("bits"), F.bit_or(F.when(F.col("dead"), F.lit(0).cast("bigint")).otherwise(bit)).alias("live"))
+        .agg(
+            F.bit_or(bit).alias("bits"),
+            F.bit_or(F.when(F.col("dead"), zero).otherwise(bit)).alias("live"),
+            F.bit_or(F.when(F.col("at") < F.col("born"), bit).otherwise(zero)).alias("early"),
+            F.collect_list(F.when(~is_parent, F.struct((F.col("pos") % WORD).cast("int").alias("bit"), "key"))).alias("keys"),
+        )
     )
     at_word = Window.partitionBy("bucket", "word")
     before = at_word.orderBy("month").rangeBetween(Window.unboundedPreceding, -1)
-    is_parent = F.col("src") < 0
-    zero = F.lit(0).cast("bigint")
     words = words.withColumns(
         {
             "any": F.coalesce(F.bit_or(F.when(is_parent, F.col("bits"))).over(at_word), zero),
@@ -121,23 +127,20 @@ def orphan_references(references: list[Reference], parents: DataFrame, buckets:
             "settled": F.coalesce(F.bit_or(F.when(is_parent, F.col("live"))).over(before), zero),
         }
     )
-    left = words.where(~is_parent).withColumn("left", F.col("bits").bitwiseAND(F.bitwise_not("settled"))).where("left != 0")
+    left = F.col("bits").bitwiseAND(F.bitwise_not("settled"))
+    # Of living parents only the references before their arrival are orphans.
+    left = left.bitwiseAND(F.bitwise_not("alive").bitwiseOR(F.col("early")))
     # Decoding: only surviving bits become rows again.
     def has(bits: str) -> Column:
-        return F.getbit(F.col(bits), F.col("bit")) == 1
-
-    decoded = (
-        left.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(F.col("left"), i) == 1)))
-        .select(
-            "bucket",
-            (F.col("word") * WORD + F.col("bit")).cast("int").alias("pos"),
-            "src",
-            "month",
-            F.when(~has("any"), "missing").when(~has("alive"), "deleted").otherwise("late").alias("kind"),
-        )
+        return F.getbit(F.col(bits), F.col("o.bit")) == 1
+
+    found = (
+        words.where(~is_parent)
+        .withColumn("left", left)
+        .where("left != 0")
+        .withColumn("o", F.explode(F.filter("keys", lambda k: F.getbit(F.col("left"), k["bit"]) == 1)))
+        .select("src", "month", "o.key", F.when(~has("any"), "missing").when(~has("alive"), "deleted").otherwise("late").alias("kind"))
     )
-    entries = coded.where(~is_parent).select("bucket", "pos", "src", "month", "key", "at", "born")
-    found = decoded.join(entries, ["bucket", "pos", "src", "month"]).where((F.col("kind") != "late") | (F.col("at") < F.col("born")))
     names = F.array(*[F.struct(F.lit(r.table).alias("t"), F.lit(r.field).alias("f")) for r in references])[F.col("src")]
     year, number = F.floor(F.col("month") / 12), F.col("month") % 12 + 1
     period = F.when(F.col("month") == NEVER_LATE, "unknown").otherwise(F.format_string("%04d-%02d", year, number))
