@@ -13,8 +13,8 @@ HEAVY_MOST = 100_000
 PART = 4
 
 
-def heavy_hitters(df: DataFrame, key: str, share: float, most: int = HEAVY_MOST) -> DataFrame:
-    """Hashes (column ``heavy``) of the keys that a frequent-items sketch over all rows puts at ``share`` of them or more, at most ``most``.
+def heavy_hitters(df: DataFrame, key: str, share: float, most: int = HEAVY_MOST, least: int = 2) -> DataFrame:
+    """Hashes (column ``heavy``) of the keys that a frequent-items sketch over all rows puts at ``share`` of them and ``least`` rows or more, at most ``most``.
 
     One pass, a sketch of fixed size per task, merged; it holds hashes, whatever the keys' lengths. Nulls are ignored; an
     empty table gives no rows.
@@ -26,7 +26,7 @@ def heavy_hitters(df: DataFrame, key: str, share: float, most: int = HEAVY_MOST)
     )
     return (
         sketch.select("n", F.explode("top").alias("t"))
-        .where(F.col("t.count") >= F.greatest(F.lit(2.0), F.col("n") * share))
+        .where(F.col("t.count") >= F.greatest(F.lit(float(least)), F.col("n") * share))
         .select(F.col("t.item").alias("heavy"))
     )
 
