@@ -4,14 +4,17 @@ A document is the set of its shingles. In each of several independent runs all d
 split on sampled shared tokens: a document goes to the child bucket of each of its tokens whose hash with the path so far
 is below ``branching / |set|``. Two sets that overlap enough choose a common child more than once on average, others less
 than once, so that like ones stay together down the recursion while the rest drift apart. Buckets small enough are
-compared by brute force, larger ones split again. Runs repeat until the chance to have missed a pair is below
-``1 - recall`` for any pair at the threshold. Pairs found are told by a sketch first and then verified on the whole sets.
+compared by brute force on sketches that travel with the rows, as they stream by in the order of their paths; larger ones
+split again. A bucket that a split leaves more than half as large holds documents that are alike and is compared in
+blocks, whole. Runs repeat until the chance to have missed a pair is below ``1 - recall`` for any pair at the threshold.
+Pairs that the sketches tell are verified on the whole sets, which move only for documents that need them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.similar import in_blocks, meet_once
-from lodegraph.session import cut, ship
+from lodegraph.llm.similar import in_blocks
+from lodegraph.operators.heavy_keys import PART, heavy_hitters
+from lodegraph.session import cut, ship, shuffle_partitions
 
 SHINGLE, LEAST_SHINGLES, THRESHOLD, RECALL = 3, 20, 0.6, 0.99
-BRANCHING = 2.0  #: children a document takes on average at each split
-BUCKET = 48  #: largest bucket compared by brute force at once
+BRANCHING = 3.0  #: children a document takes on average at each split
+BUCKET = 4096  #: largest bucket compared by brute force at once: some 4 us a row, about what another split of it costs
 DEPTH = 12  #: splits at most; what is still large then is compared in blocks
+CODES_MOST = 250_000  #: documents whose codes (8 bytes each) are broadcast at most to pick their sets
 SKETCH_WORDS = 4  #: 64-bit words of a sketch
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -55,7 +60,7 @@ def shingle_sets(docs: DataFrame, text: Column, shingle: int = SHINGLE, least: i
     h2 a 128-bit hash of them, s0.. a one-bit minwise sketch: equal bits are 1/2 + J/2 of all on average.
     """
     ship(docs.sparkSession)
-    factors = _mix(np.arange(1, 64 * words + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
+    factors = (_mix(np.arange(1, 64 * words + 1, dtype=np.uint64) * _GOLDEN) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     shifts = np.arange(64, dtype=np.uint64)
     names = ["node_id", "tokens", "h1", "h2", "n", *[f"s{k}" for k in range(words)]]
 
@@ -81,11 +86,11 @@ def shingle_sets(docs: DataFrame, text: Column, shingle: int = SHINGLE, least: i
             for i, one in enumerate(sets):
                 whole = xxhash.xxh3_128_intdigest(one.tobytes())
                 digests[i] = whole >> 64, whole & (2**64 - 1)
-                for k in range(words):
-                    smallest = np.full(64, np.iinfo(np.uint64).max)
-                    for part in range(0, len(one), 4096):
-                        np.minimum(smallest, (one[part : part + 4096, None] * factors[64 * k : 64 * k + 64]).min(0), out=smallest)
-                    sketch[i, k] = ((_mix(smallest) & np.uint64(1)) << shifts).sum(dtype=np.uint64)
+                short, smallest = (one >> np.uint64(32)).astype(np.uint32), np.full(64 * words, np.iinfo(np.uint32).max)
+                for part in range(0, len(short), 1024):
+                    np.minimum(smallest, (short[part : part + 1024, None] * factors).min(0), out=smallest)
+                bits = (_mix(smallest.astype(np.uint64) + np.uint64(1)) & np.uint64(1)).reshape(words, 64)
+                sketch[i] = (bits << shifts).sum(1, dtype=np.uint64)
             ends = np.cumsum([0, *map(len, sets)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)))
             longs = [digests[:, 0], digests[:, 1]], [sketch[:, k] for k in range(words)]
@@ -98,88 +103,217 @@ def shingle_sets(docs: DataFrame, text: Column, shingle: int = SHINGLE, least: i
 
 
 def _split(rows: DataFrame, starts: list[int] | None, branching: float) -> DataFrame:
-    """path, code of the child buckets; ``rows`` has code, tokens and, unless ``starts`` has the runs' first paths, path."""
+    """path, code, n, sketch, parent of the rows in child buckets; ``rows`` has code, tokens, n, sketch and, unless ``starts`` has the runs' first paths, path and parent."""
     ship(rows.sparkSession)
-    given = starts is None
+    sketch = _sketch(rows)
+    along = ["n", *sketch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, code = batch.column("tokens"), batch.column("code").to_numpy()
+            lists, code = batch.column("tokens"), batch.column("code")
             at = lists.offsets.to_numpy()
             sizes = np.diff(at)
             values = lists.values.to_numpy().view(np.uint64)[at[0] : at[-1]]
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            limit = np.minimum(branching / np.maximum(sizes, 1), 0.999999) * 2.0**64
-            limits = limit.astype(np.uint64)[owner]
-            paths, codes = [], []
-            seeds = [batch.column("path").to_numpy().view(np.uint64)[owner]] if given else [np.array([s], np.uint64) for s in starts]
-            for seed in seeds:
-                drawn = _mix(values + _mix(seed + _GOLDEN))
-                taken = drawn < limits
-                of = owner[taken]
-                here = seed[taken] if given else seed
-                paths.append(_mix(_mix(values[taken] ^ _M2) + here * _GOLDEN).view(np.int64))
-                codes.append(code[of])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), pa.array(np.concatenate(codes))], names=["path", "code"])
-
-    columns = ["code", "tokens", *["path"] * given]
-    return rows.select(*columns).mapInArrow(run, "path bigint, code bigint")
+            limits = (np.minimum(branching / np.maximum(sizes, 1), 0.999999) * 2.0**64).astype(np.uint64)[owner]
+            for start in [None] if starts is None else starts:
+                seed = batch.column("path").to_numpy().view(np.uint64)[owner] if start is None else np.array([start], np.uint64)
+                taken = np.flatnonzero(_mix(values + _mix(seed + _GOLDEN)) < limits)
+                of = pa.array(owner[taken])
+                here = seed[taken] if start is None else seed
+                paths = _mix(_mix(values[taken] ^ _M2) + here * _GOLDEN).view(np.int64)
+                parent = pa.nulls(len(taken), pa.int64()) if start is not None else batch.column("parent").take(of)
+                yield pa.RecordBatch.from_arrays([pa.array(paths), code.take(of), parent, *[batch.column(x).take(of) for x in along]], names=["path", "code", "parent", *along])
+
+    given = [] if starts else ["path", "parent"]
+    schema = "path bigint, code bigint, parent bigint, n int, " + ", ".join(f"{x} bigint" for x in sketch)
+    return rows.select("code", "tokens", *along, *given).mapInArrow(run, schema)
+
+
+def _sketch(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c[0] == "s" and c[1:].isdigit()]
+
+
+def _most(bits: int, threshold: float) -> int:
+    """Bits of a sketch that may differ: those expected at the threshold and six standard deviations more."""
+    differ = (1 - threshold) / 2
+    return int(bits * differ + 6 * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _near(sizes: np.ndarray, words: np.ndarray, threshold: float, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows ``x``, ``y`` that may be alike by sketch and size."""
+    near = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= _most(64 * words.shape[1], threshold)
+    near &= np.minimum(sizes[x], sizes[y]) >= np.maximum(sizes[x], sizes[y]) * threshold
+    return x[near], y[near]
+
+
+def near_pairs(sizes: np.ndarray, words: np.ndarray, threshold: float, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a row of ``left`` and one of ``right`` that may be alike."""
+    front = min(2, words.shape[1])  # half of the sketch leaves few pairs to the rest
+    most, found, columns = _most(64 * front, threshold), [], [np.ascontiguousarray(words[:, k]) for k in range(front)]
+    for begin in range(0, len(left), 256):
+        some = left[begin : begin + 256]
+        apart = sum(np.bitwise_count(c[some, None] ^ c[None, right]) for c in columns)
+        x, y = np.nonzero(apart <= most)
+        found.append(_near(sizes, words, threshold, some[x], right[y]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def bucket_pairs(path: np.ndarray, code: np.ndarray, n: np.ndarray, words: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (smaller first) of the pairs that may be alike within each run of equal ``path``; codes ascend within a run, repeats are no pair."""
+    if len(path) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
+    sizes = np.diff(np.append(starts, len(path)))
+    last = np.repeat(starts + sizes, sizes)  # the end of each row's run
+    few = np.repeat(sizes <= 32, sizes)
+    xs, ys = [], []
+    # Short runs all together, by the distance of the two rows.
+    at = np.flatnonzero(few)
+    for away in range(1, 32):
+        at = at[at + away < last[at]]
+        if not len(at):
+            break
+        x, y = _near(n, words, threshold, at, at + away)
+        xs.append(x)
+        ys.append(y)
+    for begin, size in zip(starts[sizes > 32], sizes[sizes > 32]):
+        own = np.arange(begin, begin + size)
+        x, y = near_pairs(n, words, threshold, own, own)
+        xs.append(x[x < y])
+        ys.append(y[x < y])
+    a, b = (code[np.concatenate(c)] if c else np.zeros(0, np.int64) for c in (xs, ys))
+    return a[a != b], b[a != b]
+
+
+def _meet(rows: DataFrame, threshold: float, bucket: int) -> DataFrame:
+    """a, b of the pairs that may be alike in buckets of at most ``bucket`` rows; path, a, parent of the rows of larger ones.
+
+    Rows stream by in the order of their paths, at most ``bucket`` are held. The rows of paths that a sketch over all
+    tells to be a good part of a partition aren't moved: they are in larger buckets anyway.
+    """
+    ship(rows.sparkSession)
+    parts = shuffle_partitions(rows.sparkSession)
+    hot = cut(heavy_hitters(rows, "path", 1 / (PART * parts), least=bucket + 1))
+    on = F.xxhash64(rows["path"]) == hot["heavy"]
+    sketch = _sketch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "a", "b", "parent"]
+        held: dict[str, np.ndarray] | None = None  # the rows of the last path, as long as they are few
+        large = None  # the path whose rows are too many
+
+        def beyond(rows: dict[str, np.ndarray], begin: int, end: int) -> pa.RecordBatch:
+            parent = pa.array(rows["parent"][begin:end]) if rows["parent"] is not None else pa.nulls(end - begin, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(rows["path"][begin:end]), pa.array(rows["code"][begin:end]), pa.nulls(end - begin, pa.int64()), parent], names=names)
+
+        def met(rows: dict[str, np.ndarray], end: int) -> pa.RecordBatch:
+            a, b = bucket_pairs(*(rows[x][:end] for x in ("path", "code", "n", "words")), threshold)
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b), none], names=names)
+
+        for batch in batches:
+            rows = {x: batch.column(x).to_numpy() for x in ("path", "code", "n")}
+            rows["words"] = np.stack([batch.column(x).to_numpy().view(np.uint64) for x in sketch], 1)
+            # All rows of a level have a parent, or none has.
+            rows["parent"] = batch.column("parent").to_numpy() if len(batch) and batch.column("parent").null_count == 0 else None
+            if held is not None:
+                rows = {x: np.concatenate([held[x], v]) if v is not None else None for x, v in rows.items()}
+                held = None
+            path = rows["path"]
+            starts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1]) if len(path) else np.zeros(0, int)
+            ends = np.append(starts[1:], len(path))
+            done, first = len(path), 0
+            if len(starts):
+                # The last path may go on in the next batch; rows of large ones leave at once.
+                if path[-1] != large and ends[-1] - starts[-1] <= bucket:
+                    done = int(starts[-1])
+                    held = {x: v[done:] if v is not None else None for x, v in rows.items()}
+                    ends, starts = ends[:-1], starts[:-1]
+                for begin, end in zip(starts, ends):
+                    if end - begin > bucket or path[begin] == large:
+                        if begin > first:
+                            yield met({x: v[first:] if v is not None else None for x, v in rows.items()}, begin - first)
+                        yield beyond(rows, begin, end)
+                        large, first = path[begin], end
+                if done > first:
+                    yield met({x: v[first:] if v is not None else None for x, v in rows.items()}, done - first)
+        if held is not None:
+            yield met(held, len(held["path"]))
+
+    any_hot = not hot.isEmpty()
+    cold = (rows.join(F.broadcast(hot), on, "left_anti") if any_hot else rows).repartition(parts, "path").sortWithinPartitions("path", "code")
+    moved = cold.mapInArrow(run, "path bigint, a bigint, b bigint, parent bigint")
+    if not any_hot:
+        return moved
+    return moved.unionByName(rows.join(F.broadcast(hot), on, "left_semi").select("path", F.col("code").alias("a"), F.lit(None).cast("bigint").alias("b"), "parent"))
+
+
+def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b of the pairs that may be alike in buckets (path, code, n, sketch, size) of any size, block against block."""
+    ship(rows.sparkSession)
+    sketch = _sketch(rows)
+
+    def compare(table: pa.Table) -> pa.Table:
+        code, first = table["code"].to_numpy(), table["mine"].to_numpy() == table["p"][0].as_py()
+        two = table["p"][0].as_py() != table["q"][0].as_py()
+        left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if two else (np.arange(len(code)),) * 2
+        x, y = near_pairs(table["n"].to_numpy(), np.stack([table[s].to_numpy().view(np.uint64) for s in sketch], 1), threshold, left, right)
+        x, y = code[x], code[y]
+        keep = (x != y) if two else x < y
+        return pa.table({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
+
+    laid = in_blocks(rows.select("path", "code", "n", *sketch, "size"), "path", F.col("size"), "code", 1024).repartition(4 * shuffle_partitions(rows.sparkSession), "path", "p", "q")
+    return laid.groupBy("path", "p", "q").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _picked(reps: DataFrame, codes: DataFrame) -> DataFrame:
+    """The rows of ``reps`` whose code is one of ``codes``; few codes go to them by broadcast, more by shuffle."""
+    codes = cut(codes.select("code").distinct())
+    return reps.join(F.broadcast(codes) if codes.count() <= CODES_MOST else codes, "code", "left_semi")
 
 
 def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (code, node_id) and representatives (code, node_id, tokens, n, sketch) of the classes of equal sets.
+    """Members (code, node_id) and representatives (code, tokens, n, sketch) of the classes of equal sets.
 
     Equality is told by the sets' 128-bit hashes and sizes.
     """
     # Rows of a checkpointed table keep their place, so the number given to them is the same each time.
     keyed, same = cut(sets).withColumn("code", F.monotonically_increasing_id()), ["h1", "h2", "n"]
-    firsts = cut(keyed.groupBy(*same).agg(F.min("code").alias("code")))
-    members = keyed.select("node_id", *same).join(firsts, same).select("code", "node_id")
-    return cut(members), cut(keyed.drop("h1", "h2").join(firsts.select("code"), "code", "left_semi"))
+    firsts = keyed.groupBy(*same).agg(F.min("code").alias("first"))
+    members = cut(keyed.select("node_id", "code", *same).join(firsts, same).select(F.col("first").alias("code"), "node_id", F.col("code").alias("own")))
+    copies = members.where("own != code").select(F.col("own").alias("code"))
+    copies = F.broadcast(copies) if copies.count() <= CODES_MOST else copies
+    return members.select("code", "node_id"), keyed.drop("h1", "h2", "node_id").join(copies, "code", "left_anti")
 
 
 def alike(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, branching: float = BRANCHING, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     """a, b (codes, a < b) of all pairs of representatives found whose Jaccard similarity is at least ``threshold``.
 
     Each pair is verified on whole sets. A pair at the threshold is missed with a chance below ``1 - recall``, a closer
-    one far more rarely. No bucket is cut and no partner dropped: buckets above ``bucket`` split again, and after
-    ``depth`` splits they are compared in blocks.
+    one far more rarely. No bucket is cut and no partner dropped: buckets above ``bucket`` split again, until they are
+    smaller or, after ``depth`` splits or one that doesn't halve them, are compared in blocks.
     """
     starts = [int(x) for x in _mix(np.arange(1, runs_for(threshold, recall, branching) + 1, dtype=np.uint64) * _GOLDEN)]
-    tokens = reps.select("code", "tokens")
-    sketch = [c for c in reps.columns if c.startswith("s")]
-    small = reps.select("code", "n", *sketch)
-    leaves: list[DataFrame] = []
-    rows, going = cut(_split(tokens, starts, branching)), tokens
+    slim = reps.select("code", "n", *_sketch(reps))
+    rows, candidates = _split(reps, starts, branching), []
     for level in range(depth):
-        counted = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = cut(rows.join(counted, "path"))
-        leaves.append(sized.where(F.col("size") <= bucket))
-        large = sized.where(F.col("size") > bucket)
-        if large.isEmpty():
+        met = cut(_meet(rows, threshold, bucket))
+        candidates.append(met.where("b is not null").select("a", "b"))
+        large = met.where("b is null").select("path", F.col("a").alias("code"), "parent")
+        sizes = cut(large.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("was")))
+        if sizes.isEmpty():
             break
-        if level == depth - 1:
-            leaves.append(large)
-            break
-        # Fewer documents are left in large buckets each time; only their sets go on, and each split runs once.
-        going = cut(going.join(large.select("code").distinct(), "code", "left_semi"))
-        rows = cut(_split(large.select("path", "code").join(going, "code"), None, branching))
-    bits = 64 * len(sketch)
-    # Bits that may differ: those expected at the threshold and six standard deviations more.
-    differ = (1 - threshold) / 2
-    most = int(bits * differ + 6 * math.sqrt(bits * differ * (1 - differ)))
-    candidates = None
-    for part in leaves:
-        laid = in_blocks(part.join(small, "code"), "path", F.col("size"), "code", max(bucket, 256))
-        x, y = laid.alias("x"), laid.alias("y")
-        apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in sketch), F.lit(0))
-        n1, n2 = F.col("x.n"), F.col("y.n")
-        near = (F.col("x.code") < F.col("y.code")) & (F.least(n1, n2) >= F.greatest(n1, n2) * F.lit(threshold)) & (apart <= most)
-        met = (F.col("x.path") == F.col("y.path")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-        pairs = x.join(y, met & near & meet_once("x", "y")).select(F.col("x.code").alias("a"), F.col("y.code").alias("b"))
-        candidates = pairs if candidates is None else candidates.unionByName(pairs)
-    left, right = (tokens.select(F.col("code").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "t1"), ("b", "t2")))
-    both = candidates.distinct().join(left, "a").join(right, "b")
+        large = large.drop("parent").join(sizes, "path")
+        stays = (F.col("size") > F.col("was") / 2) if level < depth - 1 else F.lit(True)
+        stays = F.coalesce(stays, F.lit(False))
+        candidates.append(_block_pairs(large.where(stays).join(slim, "code"), threshold))
+        going = large.where(~stays).select("path", "code", F.col("size").alias("parent"))
+        rows = _split(going.join(_picked(reps, going), "code"), None, branching)
+    pairs = cut(reduce(DataFrame.unionByName, candidates).distinct())
+    sets = _picked(reps.select("code", "tokens"), pairs.select(F.explode(F.array("a", "b")).alias("code")))
+    left, right = (sets.select(F.col("code").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "t1"), ("b", "t2")))
+    both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("t1", "t2"))
     return both.where(shared >= F.lit(threshold) * (F.size("t1") + F.size("t2") - shared)).select("a", "b")
 

@@ -83,6 +83,27 @@ def test_one_large_group(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("batch", ["3", "10000"])
+@pytest.mark.parametrize("bucket", [2, 7, 100])
+def test_buckets_across_batches(spark, batch, bucket):
+    """Paths that lie across batches, and those with more rows than a bucket holds, are told alike whatever the batch size."""
+    rnd = random.Random(bucket)
+    rows = [(rnd.choice([1, 1, 1, 2, 3, 4 + k % 20]), k, None, 30, *[rnd.getrandbits(62) if rnd.random() < 0.5 else 7 for _ in range(2)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "path bigint, code bigint, parent bigint, n int, s0 bigint, s1 bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = nd._meet(df, 0.6, bucket).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    most = nd._most(128, 0.6)
+    want = {(x[1], y[1]) for g in by.values() if len(g) <= bucket for x in g for y in g if x[1] < y[1] and sum((p ^ q).bit_count() for p, q in zip(x[4:], y[4:])) <= most}
+    assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == want
+    assert sorted((r["path"], r["a"]) for r in out if r["b"] is None) == sorted((r[0], r[1]) for g in by.values() if len(g) > bucket for r in g)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, body string")
     pairs, members = nd.near_duplicates(df, "id", F.col("body"))
