@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.similar import in_blocks
+from lodegraph.llm.similar import in_blocks, slices
 from lodegraph.operators.heavy_keys import PART, heavy_hitters
 from lodegraph.session import cut, ship, shuffle_partitions
 
@@ -30,8 +30,9 @@ SHINGLE, LEAST_SHINGLES, THRESHOLD, RECALL = 3, 20, 0.6, 0.99
 BRANCHING = 3.0  #: children a document takes on average at each split
 BUCKET = 4096  #: largest bucket compared by brute force at once: some 4 us a row, about what another split of it costs
 DEPTH = 12  #: splits at most; what is still large then is compared in blocks
-CODES_MOST = 250_000  #: documents whose codes (8 bytes each) are broadcast at most to pick their sets
-SKETCH_WORDS = 4  #: 64-bit words of a sketch
+CODES_MOST = 250_000  #: documents whose codes, or buckets whose paths (8 bytes each), are broadcast at most; more are joined by shuffle
+HOT_LEAST = 250_000  #: rows of a bucket from which it isn't moved into one part
+SKETCH_WORDS, DEVIATIONS = 4, 4.5  #: 64-bit words of a sketch, and what it may be off by
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -65,7 +66,7 @@ def shingle_sets(docs: DataFrame, text: Column, shingle: int = SHINGLE, least: i
     names = ["node_id", "tokens", "h1", "h2", "n", *[f"s{k}" for k in range(words)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             lists = batch.column(1)
             at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             coded = lists.flatten().dictionary_encode()
@@ -102,28 +103,44 @@ def shingle_sets(docs: DataFrame, text: Column, shingle: int = SHINGLE, least: i
     return docs.select("node_id", found.alias("words")).mapInArrow(run, schema)
 
 
-def _split(rows: DataFrame, starts: list[int] | None, branching: float) -> DataFrame:
-    """path, code, n, sketch, parent of the rows in child buckets; ``rows`` has code, tokens, n, sketch and, unless ``starts`` has the runs' first paths, path and parent."""
+def _split(rows: DataFrame, starts: list[int] | None, branching: float, large: list[tuple[np.ndarray, np.ndarray]] = ()) -> DataFrame:
+    """path, code, n, sketch, parent (size of the bucket above) of the rows in child buckets.
+
+    ``rows`` has code, tokens, n, sketch. With ``starts``, the first paths of the runs, each row is split from there on, and
+    once more below each of ``large``: by level, the sorted paths and the sizes of the buckets that go on. Without, rows have
+    the path to split and the parent.
+    """
     ship(rows.sparkSession)
     sketch = _sketch(rows)
     along = ["n", *sketch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "tokens"):
             lists, code = batch.column("tokens"), batch.column("code")
-            at = lists.offsets.to_numpy()
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             sizes = np.diff(at)
-            values = lists.values.to_numpy().view(np.uint64)[at[0] : at[-1]]
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            limits = (np.minimum(branching / np.maximum(sizes, 1), 0.999999) * 2.0**64).astype(np.uint64)[owner]
+            values = lists.flatten().to_numpy().view(np.uint64)
+            limits = (np.minimum(branching / np.maximum(sizes, 1), 0.999999) * 2.0**64).astype(np.uint64)
+
+            def below(of: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Places in ``of`` and paths of the children of rows ``of`` in buckets ``path``."""
+                each = np.repeat(np.arange(len(of)), sizes[of])
+                token = np.arange(len(each)) - np.repeat(np.cumsum(sizes[of]) - sizes[of], sizes[of]) + np.repeat(at[of], sizes[of])
+                taken = np.flatnonzero(_mix(values[token] + _mix(path + _GOLDEN)[each]) < limits[of][each])
+                each, token = each[taken], token[taken]
+                return each, _mix(_mix(values[token] ^ _M2) + path[each] * _GOLDEN)
+
+            every = np.arange(len(batch))
             for start in [None] if starts is None else starts:
-                seed = batch.column("path").to_numpy().view(np.uint64)[owner] if start is None else np.array([start], np.uint64)
-                taken = np.flatnonzero(_mix(values + _mix(seed + _GOLDEN)) < limits)
-                of = pa.array(owner[taken])
-                here = seed[taken] if start is None else seed
-                paths = _mix(_mix(values[taken] ^ _M2) + here * _GOLDEN).view(np.int64)
-                parent = pa.nulls(len(taken), pa.int64()) if start is not None else batch.column("parent").take(of)
-                yield pa.RecordBatch.from_arrays([pa.array(paths), code.take(of), parent, *[batch.column(x).take(of) for x in along]], names=["path", "code", "parent", *along])
+                path = batch.column("path").to_numpy().view(np.uint64) if start is None else np.full(len(batch), start, np.uint64)
+                of, path = below(every, path)
+                parent = batch.column("parent").take(pa.array(of)) if start is None else pa.nulls(len(of), pa.int64())
+                for paths, above in large:
+                    place = np.minimum(np.searchsorted(paths, path), len(paths) - 1)
+                    on = np.flatnonzero(paths[place] == path)
+                    from_, path = below(of[on], path[on])
+                    of, parent = of[on][from_], pa.array(above[place[on]][from_])
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), code.take(pa.array(of)), parent, *[batch.column(x).take(pa.array(of)) for x in along]], names=["path", "code", "parent", *along])
 
     given = [] if starts else ["path", "parent"]
     schema = "path bigint, code bigint, parent bigint, n int, " + ", ".join(f"{x} bigint" for x in sketch)
@@ -135,9 +152,9 @@ def _sketch(df: DataFrame) -> list[str]:
 
 
 def _most(bits: int, threshold: float) -> int:
-    """Bits of a sketch that may differ: those expected at the threshold and six standard deviations more."""
+    """Bits of a sketch that may differ: those expected at the threshold and DEVIATIONS standard deviations more, which one pair in 300,000 at the threshold exceeds."""
     differ = (1 - threshold) / 2
-    return int(bits * differ + 6 * math.sqrt(bits * differ * (1 - differ)))
+    return int(bits * differ + DEVIATIONS * math.sqrt(bits * differ * (1 - differ)))
 
 
 def _near(sizes: np.ndarray, words: np.ndarray, threshold: float, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,16 +203,15 @@ def bucket_pairs(path: np.ndarray, code: np.ndarray, n: np.ndarray, words: np.nd
     return a[a != b], b[a != b]
 
 
-def _meet(rows: DataFrame, threshold: float, bucket: int) -> DataFrame:
+def _meet(rows: DataFrame, threshold: float, bucket: int, most: int | None = None) -> DataFrame:
     """a, b of the pairs that may be alike in buckets of at most ``bucket`` rows; path, a, parent of the rows of larger ones.
 
     Rows stream by in the order of their paths, at most ``bucket`` are held. The rows of paths that a sketch over all
-    tells to be a good part of a partition aren't moved: they are in larger buckets anyway.
+    tells to be a good part of a partition aren't moved: they are in larger buckets anyway. No bucket has over ``most`` rows.
     """
     ship(rows.sparkSession)
     parts = shuffle_partitions(rows.sparkSession)
-    hot = cut(heavy_hitters(rows, "path", 1 / (PART * parts), least=bucket + 1))
-    on = F.xxhash64(rows["path"]) == hot["heavy"]
+    hot = cut(heavy_hitters(rows, "path", 1 / (PART * parts), least=max(bucket + 1, HOT_LEAST))) if most is None or most >= HOT_LEAST else None
     sketch = _sketch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +257,8 @@ def _meet(rows: DataFrame, threshold: float, bucket: int) -> DataFrame:
         if held is not None:
             yield met(held, len(held["path"]))
 
-    any_hot = not hot.isEmpty()
+    any_hot = hot is not None and not hot.isEmpty()
+    on = F.xxhash64(rows["path"]) == hot["heavy"] if any_hot else None
     cold = (rows.join(F.broadcast(hot), on, "left_anti") if any_hot else rows).repartition(parts, "path").sortWithinPartitions("path", "code")
     moved = cold.mapInArrow(run, "path bigint, a bigint, b bigint, parent bigint")
     if not any_hot:
@@ -296,20 +313,32 @@ def alike(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     """
     starts = [int(x) for x in _mix(np.arange(1, runs_for(threshold, recall, branching) + 1, dtype=np.uint64) * _GOLDEN)]
     slim = reps.select("code", "n", *_sketch(reps))
-    rows, candidates = _split(reps, starts, branching), []
+    rows, candidates, most = _split(reps, starts, branching), [], reps.select("code").count()
+    known: list[tuple[np.ndarray, np.ndarray]] | None = []  # paths that go on by level, while they are few
     for level in range(depth):
-        met = cut(_meet(rows, threshold, bucket))
+        met = cut(_meet(rows, threshold, bucket, most))
         candidates.append(met.where("b is not null").select("a", "b"))
         large = met.where("b is null").select("path", F.col("a").alias("code"), "parent")
         sizes = cut(large.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("was")))
-        if sizes.isEmpty():
+        stays = F.coalesce(F.col("size") > F.col("was") / 2, F.lit(False)) if level < depth - 1 else F.lit(True)
+        n_go, n_stay, most = sizes.agg(F.count_if(~stays), F.count_if(stays), F.max(F.when(~stays, F.col("size")))).head()
+        if n_stay:
+            dense = large.drop("parent").join(sizes.where(stays), "path")
+            candidates.append(_block_pairs(dense.join(slim, "code"), threshold))
+        if not n_go:
             break
-        large = large.drop("parent").join(sizes, "path")
-        stays = (F.col("size") > F.col("was") / 2) if level < depth - 1 else F.lit(True)
-        stays = F.coalesce(stays, F.lit(False))
-        candidates.append(_block_pairs(large.where(stays).join(slim, "code"), threshold))
-        going = large.where(~stays).select("path", "code", F.col("size").alias("parent"))
-        rows = _split(going.join(_picked(reps, going), "code"), None, branching)
+        on = sizes.where(~stays).select("path", "size")
+        if known is not None and n_go <= CODES_MOST:
+            # Few paths go to the sets, which then move nowhere: each splits again from the start down to them.
+            few = on.toPandas()
+            paths = few["path"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(paths)
+            known.append((paths[order], few["size"].to_numpy(np.int64)[order]))
+            rows = _split(reps, starts, branching, known)
+        else:
+            known = None
+            going = large.drop("parent").join(on, "path").select("path", "code", F.col("size").alias("parent"))
+            rows = _split(going.join(_picked(reps, going), "code"), None, branching)
     pairs = cut(reduce(DataFrame.unionByName, candidates).distinct())
     sets = _picked(reps.select("code", "tokens"), pairs.select(F.explode(F.array("a", "b")).alias("code")))
     left, right = (sets.select(F.col("code").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "t1"), ("b", "t2")))

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
+AT_ONCE = 1_000_000  #: elements of lists worked on at once; only bounds memory
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose lists in ``column`` have about ``most`` elements together, at least one row each."""
+    for batch in batches:
+        ends, begin = batch.column(column).offsets.to_numpy(), 0
+        while begin < len(batch):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 def newest(df: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:

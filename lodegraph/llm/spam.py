@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm.similar import slices
 from lodegraph.session import cut, ship, spread
 
 # Common function words, one list a language.
@@ -42,7 +43,6 @@ LABELS_MOST = 50_000  #: reviewed pages used at most
 MADE_UP = 4.0  #: reviewed pages that all made-up ones together count as
 CHI2 = 29.6  #: the 0.999 quantile of chi-square with ten degrees of freedom
 RIDGE = 0.1
-TOKENS_AT_ONCE = 400_000  #: only bounds memory
 
 _TOKEN = r"www\.[^\s|]+|{letters}+(?:://[^\s>|]+)?|{signs}+(?:[.,][0-9]+)*|\n|#[^\s#]+|\[\[[^\]\n]*\]\]|\[[^\]\n]*\]\([^)\n]*\)"
 TOKEN = _TOKEN.format(letters=r"\p{L}", signs=r"[\p{L}\p{N}]")  #: links, words, numbers, line ends and tags of lower-cased text
@@ -183,14 +183,9 @@ def page_features(docs: DataFrame, key: str, text: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = batch.column(1).offsets.to_numpy()
-            begin = 0
-            while begin < len(batch):
-                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + TOKENS_AT_ONCE, "right")) - 1)
-                languages, values = measure(batch.column(1).slice(begin, end - begin))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(languages), *[pa.array(values[:, i]) for i in range(len(NAMES))]], names=["key", "lang", *NAMES])
-                begin = end
+        for batch in slices(batches, 1):
+            languages, values = measure(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages), *[pa.array(values[:, i]) for i in range(len(NAMES))]], names=["key", "lang", *NAMES])
 
     kind = docs.schema[key].dataType.simpleString()
     some = spread(docs.select(docs[key].alias("key"), docs[text].alias("text")), "key").where(F.col("text").rlike(r"\S"))

@@ -70,19 +70,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(r["n_links"] for r in links.values()) == 2 * len([p for p in got if links[p[0]]["class_id"] != links[p[1]]["class_id"]])
 
 
-def test_one_large_group(spark):
-    """A group of near copies that no split takes apart is compared in blocks, whole."""
+@pytest.mark.parametrize("depth,codes", [(2, 0), (4, 10**6), (12, 0)])
+def test_one_large_group(spark, monkeypatch, depth, codes):
+    """A group of near copies that no split takes apart is compared in blocks, whole; whichever way sets are found again."""
+    monkeypatch.setattr(nd, "CODES_MOST", codes)
     docs = texts(2, 1, 120) | texts(3, 60, 1)
     docs = {f"{k}-{n}": t for n, (k, t) in enumerate(docs.items())}
     want = jaccard_pairs(shingle_sets(docs), 0.6)
     df = spark.createDataFrame(list(docs.items()), "id string, body string")
     sets = nd.shingle_sets(df.withColumnRenamed("id", "node_id"), F.col("body"))
     members, reps = nd.classes_of(sets)
-    pairs = nd.alike(reps, bucket=16, depth=2)
+    pairs = nd.alike(reps, bucket=16, depth=depth)
     got = {tuple(r) for r in similar.expand(pairs, members).collect()}
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_slices():
+    import pyarrow as pa
+
+    lists = pa.array([[1] * n for n in (0, 5, 2, 0, 9, 1, 1, 1)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), lists], names=["k", "v"]).slice(1)
+    got = list(similar.slices([batch, batch.slice(0, 0)], "v", 4))
+    assert [b.column(0).to_pylist() for b in got] == [[1], [2, 3], [4], [5, 6, 7]]
+
+
 @pytest.mark.parametrize("batch", ["3", "10000"])
 @pytest.mark.parametrize("bucket", [2, 7, 100])
 def test_buckets_across_batches(spark, batch, bucket):
