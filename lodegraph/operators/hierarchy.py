@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,13 +77,16 @@ class Hierarchy:
         )
 
 
-def hierarchy(rows: DataFrame, levels: int = LEVELS) -> Hierarchy:
+def hierarchy(rows: DataFrame, levels: int | None = LEVELS) -> Hierarchy:
     """The hierarchy of rows (child, parent, at) of strings, one parent a child by :func:`parent_of`.
 
     Every id of a row whose ids are neither null nor empty takes part, that of rows which don't count included. place is
     ``tree``, ``cycle`` (among its own ancestors) or ``below_cycle``. Repeats change nothing; an empty table gives no
     rows. The frontier and the links are joined by ordinary shuffles, whose hot parents AQE splits; nothing is collected
     but counts.
+
+    ``levels`` frontier joins are made, all that there are if it is None; what lies deeper is finished by doubling. It
+    changes the way, not the rows: a frontier join is a job a level, doubling a few jobs for any depth.
     """
     rows = rows.where("child is not null and child != '' and parent is not null and parent != ''").select("child", "parent", "at")
     names = cut(encode(rows.select(F.explode(F.array("child", "parent")).alias("key"))))
@@ -90,7 +94,7 @@ def hierarchy(rows: DataFrame, levels: int = LEVELS) -> Hierarchy:
     links = cut(parent_of(rows).join(child, "child").join(parent, "parent").select("c", "p"))
     frontier = cut(names.join(links, names["code"] == links["c"], "left_anti").select("code", F.array().cast("array<bigint>").alias("path")))
     placed, rest, more = [frontier], links, True
-    for _ in range(levels):
+    for _ in count() if levels is None else range(levels):
         frontier = cut(rest.join(frontier, rest["p"] == frontier["code"]).select(F.col("c").alias("code"), F.concat("path", F.array("p")).alias("path")))
         if not (more := not frontier.isEmpty()):
             break

@@ -43,7 +43,7 @@ def run(spark, rows, **kw):
 T = datetime(2024, 1, 1)
 
 
-@pytest.mark.parametrize("levels", [0, 2, 10])
+@pytest.mark.parametrize("levels", [0, 2, 10, None])
 def test_deep_chains_and_loops(spark, levels):
     rows = [(f"n{i + 1}", f"n{i}", T) for i in range(23)]
     rows += [("x", "y", T), ("y", "z", T), ("z", "x", T), ("self", "self", None), ("u", "x", T), ("v", "u", T), ("w", "self", T)]
