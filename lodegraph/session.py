@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +19,20 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a single machine) a folder of
-    our own is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where that is unset, a folder of our own is made,
+    and removed at the end; on a cluster a folder of one machine would be lost with it, so there it is an error.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", "")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodegraph-", dir=os.environ.get("TMPDIR")))
+    if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lodegraph-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,6 +52,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def share_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver's machine to the executors, once a context; gives the name that ``SparkFiles.get`` knows it by there."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_lodegraph_files", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a context; jobs whose functions run there call it first."""
     import zipfile
