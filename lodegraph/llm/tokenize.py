@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.session import ship, spread
+from lodegraph.session import share_file, ship, spread
 
 #: Words a worker process keeps; beyond it starts anew. It only bounds memory.
 WORDS_KEPT = 400_000
@@ -151,10 +152,10 @@ def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> Da
     A null or empty text gives an empty list; strings that look like special tokens are ordinary text. Whole texts are
     encoded, repeated rows each; other columns are ignored, an empty table gives no rows.
     """
-    path = path or tokenizer_path()
+    name = share_file(df.sparkSession, path or tokenizer_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = replay_of(path)
+        replay = replay_of(SparkFiles.get(name))
         for batch in batches:
             ends, ids = replay.encode(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.cast(pa.int32()))
@@ -166,10 +167,10 @@ def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> Da
 
 def token_counts(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """``key`` and n_tokens (bigint) of every row's ``text``; 0 for null and empty texts."""
-    path = path or tokenizer_path()
+    name = share_file(df.sparkSession, path or tokenizer_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = replay_of(path)
+        replay = replay_of(SparkFiles.get(name))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replay.lengths(batch.column(1)), pa.int64())], names=[key, "n_tokens"])
 
