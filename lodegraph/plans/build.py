@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +35,7 @@ class Graph:
     edges: DataFrame
     docs: DataFrame
     files: DataFrame
+    report: dict[str, int] = field(default_factory=dict)  #: what the ledger told
 
 
 def artifacts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,31 +136,32 @@ def build(root: str, entries: DataFrame, texts: DataFrame, boundaries: DataFrame
     ranked = reduce(DataFrame.unionByName, [df.withColumn("_p", F.lit(n)) for n, df in enumerate((edges, inferred, stated))])
     rest = [c for c in edges.columns if c not in key]
     edges = ranked.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("_p", *rest)).alias("r")).select(*key, "r.*").withColumn("created_at", now)
-    edges = cut(edges)
+    edges, report = cut(edges), {}
 
     if events is not None:
         aliases = ledger.workitem_aliases(metadata.work_items(texts.where(p.basename(F.col("rel_path")) == ".workitem")))
         told = cut(ledger.resolved(ledger.prepared(events), nodes, aliases))
-        decided, acts = ledger.decisions(told), ledger.actions(told)
-        fresh = decided.select("id", F.lit("decision").alias("type"), "name", "path").unionByName(acts.select("id", F.lit("action").alias("type"), "name", F.lit("").alias("path"))).select("*", F.lit("").alias("status"), none.alias("metadata"))
-        state_now = ledger.artifact_status(told).select(F.col("artifact").alias("id"), F.col("status").alias("_s"))
-        nodes = nodes.join(state_now, "id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s").unionByName(fresh)
-        nodes = cut(nodes)
-        at = told.where("kind = 'decided' and artifact is not null").select(F.col("artifact").alias("from_id"), F.concat(F.lit("decision:"), "id").alias("to_id"), "at", "conf", "src")
-        more = [
-            at.select("from_id", "to_id", F.lit("contains").alias("type"), F.col("conf").alias("confidence"), F.col("src").alias("source"), F.lit("").alias("subtype"), F.lit("").alias("note")),
-            _edge(ledger.because_of(told), "because_of", "explicit"),
-            ledger.produced(told, nodes).select("from_id", "to_id", F.lit("produced").alias("type"), "confidence", "source", "subtype", "note"),
-            ledger.promoted(told, nodes).select("from_id", "to_id", F.lit("promoted_to").alias("type"), "confidence", "source", F.lit("").alias("subtype"), F.lit("").alias("note")),
-        ]
-        edges = cut(ledger.merge_edges(edges, reduce(DataFrame.unionByName, more).withColumn("created_at", now)))
-        made = edges.where("type = 'produced' and to_id like 'file:%'").select(F.col("to_id").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
-        nodes = nodes.unionByName(made.select("id", F.lit("file").alias("type"), F.expr("substring(id, 6)").alias("name"), under(F.expr("substring(id, 6)")).alias("path"), F.lit("").alias("status"), none.alias("metadata")))
+        seen = ledger.artifact_status(told).select(F.col("artifact").alias("id"), F.col("status").alias("_s"), F.col("created_at").alias("_c"), F.col("updated_at").alias("_u"))
+        before = nodes
+        dated = nodes.join(seen, "id", "left").withColumns({"status": F.coalesce("_s", "status"), "created_at": F.least(now, "_c"), "updated_at": F.coalesce("_u", now)}).drop("_s", "_c", "_u")
+        nodes = cut(dated.unionByName(ledger.told_nodes(told)))
+        told_edges = cut(ledger.told_edges(told, nodes))
+        scanned = edges
+        edges = cut(ledger.merge_edges(edges, told_edges))
+        made = told_edges.where("type = 'produced' and to_id like 'file:%'").groupBy(F.col("to_id").alias("id")).agg(F.min("created_at").alias("created_at")).join(nodes.select("id"), "id", "left_anti")
+        name = F.expr("substring(id, 6)")
+        nodes = nodes.unionByName(made.select("id", F.lit("file").alias("type"), name.alias("name"), under(name).alias("path"), F.lit("").alias("status"), none.alias("metadata"), "created_at", F.col("created_at").alias("updated_at")))
         nodes = cut(nodes)
+        counts = {r["outcome"]: r["n_events"] for r in ledger.report(events).collect()}
+        report = {
+            "events_read": counts["read"], "events_applied": counts["applied"], "events_skipped": counts["read"] - counts["applied"], "unknown_kinds": counts["unknown"],
+            "nodes_added": nodes.join(before.select("id"), "id", "left_anti").count(), "edges_added": edges.join(scanned.select(*key), key, "left_anti").count(),
+        }
+    else:
+        nodes = nodes.withColumns({"created_at": now, "updated_at": now})
     edges, _ = ledger.without_dangling(edges, nodes)
-    nodes = nodes.withColumns({"created_at": now, "updated_at": now})
     prints = refresh.fingerprints(texts.withColumnRenamed("text", "content")).join(files.select("rel_path", rel_repo.alias("repo_root"), F.col("git_state").alias("tracked_state"), "mtime_ns"), "rel_path").withColumn("indexed_at", now)
-    return Graph(nodes, edges, search_docs(root, nodes, texts), prints)
+    return Graph(nodes, edges, search_docs(root, nodes, texts), prints, report)
 
 
 def search_docs(root: str, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -184,11 +186,12 @@ def build_workspace(spark: SparkSession, root: str, store: Store, probe=workspac
     kept = entries.where("not is_dir").select("rel_path")
     texts = workspace.texts(spark, root, "*").join(kept, "rel_path", "left_semi")
     events, bad = workspace.events(spark, root)
+    unread = bad.count()
     graph = build(base, entries, texts, bounds, events)
-    meta = {"graph_schema_version": SCHEMA_VERSION, "campaign_root": base, "last_refresh_mode": mode, "last_refresh_at": "now", "search_available": "true", "unreadable_lines": str(bad.count())}
+    meta = {"graph_schema_version": SCHEMA_VERSION, "campaign_root": base, "last_refresh_mode": mode, "last_refresh_at": "now", "search_available": "true", "unreadable_lines": str(unread)}
     rows = spark.createDataFrame(list(meta.items()), "key string, value string").withColumn("value", F.when(F.col("key") == "last_refresh_at", p.format_time(F.current_timestamp())).otherwise(F.col("value")))
     store.save(nodes=graph.nodes, edges=graph.edges, search_docs=graph.docs, indexed_files=graph.files, graph_meta=rows)
-    return {t: store.read(t).count() for t in ("nodes", "edges", "search_docs", "indexed_files")}
+    return {t: store.read(t).count() for t in ("nodes", "edges", "search_docs", "indexed_files")} | {"ledger": graph.report | {"read_skipped_lines": unread}}
 
 
 def refresh_workspace(spark: SparkSession, root: str, store: Store, probe=workspace.git_states) -> dict:

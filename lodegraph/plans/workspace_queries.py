@@ -377,7 +377,103 @@ def ledger_actions(spark, d):
 SELECT from_id, 'file:' || note AS to_id, 'path' AS subtype, note, CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence, CASE WHEN user_id % 2 = 0 THEN 'ledger' ELSE 'inferred' END AS source
 FROM x QUALIFY row_number() OVER (PARTITION BY from_id, note ORDER BY ts, event_id) = 1""")
 def ledger_produced(spark, d):
-    return ledger.produced(*_ledger(spark, d))
+    return ledger.produced(*_ledger(spark, d)).drop("created_at")
+
+
+# The same table told as a workspace's whole ledger: every scope, kind of event and evidence.
+
+_TOLD = """WITH x AS (SELECT event_id AS id, ts, event_type AS et, json_extract_string(props, '$.k')::BIGINT AS k, user_id AS u, user_id % 5 AS m, user_id % 50 AS f FROM events),
+y AS (SELECT *, CASE m WHEN 0 THEN 'intent:u' || u WHEN 1 THEN 'festival:fest-F' || f || CASE WHEN f % 2 = 0 THEN '/p1' ELSE '' END
+    WHEN 2 THEN CASE WHEN u % 4 < 2 THEN 'design_doc:w' ELSE 'explore_doc:w' END || u WHEN 3 THEN 'folder:.campaign/quests/q' || (u % 9) END AS art,
+  CASE et WHEN 'signup' THEN CASE WHEN k % 5 = 0 THEN 'decided' ELSE 'created' END WHEN 'view' THEN 'transitioned' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'evidence_attached'
+    ELSE CASE k % 3 WHEN 0 THEN 'repaired' WHEN 1 THEN 'created' ELSE 'reconciled' END END AS kind, u % 2 = 1 OR (et = 'error' AND k % 3 = 1) AS weak FROM x),
+z AS (SELECT *, CASE m WHEN 0 THEN 'folder:.campaign/intents' WHEN 1 THEN CASE WHEN f % 2 = 0 THEN 'festival:fest-F' || f END WHEN 2 THEN 'folder:.' WHEN 3 THEN 'folder:.campaign/quests' END AS parent,
+  CASE WHEN weak THEN 0.7 ELSE 1.0 END::DOUBLE AS conf, CASE WHEN weak THEN 'inferred' ELSE 'ledger' END AS src, 'action:a' || (id % 500) AS act FROM y)
+"""
+
+
+def _whole_ledger(spark, d):
+    """Events of the events table with every scope, and the nodes of the workspace they belong to."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).withColumn("m", F.col("user_id") % 5)
+    nothing, text = F.lit(None).cast("string"), lambda c: c.cast("string")
+    u, f, k, et = text(F.col("user_id")), text(F.col("user_id") % 50), F.col("k"), F.col("event_type")
+    of = {
+        "intent": F.when(F.col("m") == 0, F.concat(F.lit("u"), u)), "festival": F.when(F.col("m") == 1, F.concat(F.lit("F"), f)), "phase": F.when(F.col("m") == 1, "p1"),
+        "workitem": F.when(F.col("m") == 2, F.concat(F.lit("w"), u)), "quest": F.when(F.col("m") == 3, F.concat(F.lit("q"), text(F.col("user_id") % 9))),
+    }
+    scope = F.struct(*[of.get(c, nothing).alias(c) for c in ("campaign", "festival", "phase", "sequence", "task", "intent", "workitem", "quest")])
+    kind = (
+        F.when(et == "signup", F.when(k % 5 == 0, "decided").otherwise("created")).when(et == "view", "transitioned").when(et == "purchase", "completed").when(et == "click", "evidence_attached")
+        .otherwise(F.when(k % 3 == 0, "repaired").otherwise("reconciled"))
+    )
+    said = F.struct(
+        F.when(et == "view", F.concat(F.lit("s"), text(k % 4))).alias("from"), F.when(et == "view", F.concat(F.lit("dungeon/s"), text(k % 3))).alias("to"), F.when((et == "error") & (k % 3 == 1), "created").alias("kind"),
+        F.when(et == "error", F.concat(F.lit("n"), text(k))).alias("note"), F.when(et == "signup", F.concat(F.lit("d"), text(k))).alias("because_of"), F.when((et == "view") & (k % 7 == 0), F.concat(F.lit("festivals/active/fest-F"), text(k % 50))).alias("promoted_to"),
+    )
+    sort = F.element_at(F.array(F.lit("path"), F.lit("commit"), F.lit("url")), (k % 3 + 1).cast("int"))
+    ev = F.struct(
+        sort.alias("type"), F.when(sort == "commit", F.concat(F.lit("r"), text(k % 4))).alias("repo"), F.when(sort == "commit", F.concat(F.lit("c"), text(k))).alias("sha"),
+        F.when(sort == "path", F.concat(F.lit("out/"), text(k % 20))).alias("path"), F.when(sort == "url", F.concat(F.lit("https://x/"), text(k))).alias("url"),
+    )
+    events = e.select(
+        F.lit(1).alias("v"), F.lpad(text(F.col("event_id")), 12, "0").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), kind.alias("kind"), F.concat(F.lit("a"), text(F.col("event_id") % 500)).alias("action"),
+        scope.alias("scope"), F.lit(None).cast("struct<type:string,name:string>").alias("actor"), F.when(k % 11 == 0, F.concat(F.lit("why"), text(k))).alias("why"), F.to_json(said).alias("payload"), F.when(et == "click", F.array(ev)).alias("evidence"),
+        F.when(F.col("user_id") % 2 == 0, "command").otherwise("backfill").alias("source"),
+    )
+    each = e.select("user_id", "m", f.alias("f")).distinct()
+    node = lambda df, i, t, n: df.select(i.alias("id"), F.lit(t).alias("type"), n.alias("name"))
+    docs, fest = each.where("m = 2"), each.select("f").distinct().union(spark.range(50).select(text(F.col("id")))).distinct()
+    fixed = [("folder:.", "folder", "."), ("folder:.campaign/intents", "folder", ""), ("folder:.campaign/quests", "folder", ""), ("repo:projects/r0", "repo", ""), ("project:r1", "project", "r1")] + [(f"folder:.campaign/quests/q{n}", "folder", "") for n in range(9)]
+    name = F.concat(F.lit("fest-F"), "f")
+    nodes = [
+        node(each.where("m = 0"), F.concat(F.lit("intent:u"), text(F.col("user_id"))), "intent", F.lit("")), node(fest, F.concat(F.lit("festival:"), name), "festival", name),
+        node(fest.where("f % 2 = 0"), F.concat(F.lit("festival:"), name, F.lit("/p1")), "phase", F.lit("p1")),
+        node(docs.where("user_id % 4 < 2"), F.concat(F.lit("design_doc:w"), text(F.col("user_id"))), "design_doc", F.lit("")), node(docs.where("user_id % 4 >= 2"), F.concat(F.lit("explore_doc:w"), text(F.col("user_id"))), "explore_doc", F.lit("")),
+        spark.createDataFrame(fixed, "id string, type string, name string"),
+    ]
+    every = nodes[0]
+    for x in nodes[1:]:
+        every = every.unionByName(x)
+    return ledger.resolved(ledger.prepared(events), every), every
+
+
+@query(_TOLD + """, c AS (
+  SELECT parent AS from_id, art AS to_id, 'contains' AS type, conf, src, kind AS subtype,
+    CASE kind WHEN 'transitioned' THEN 's' || (k % 4) || '->dungeon/s' || (k % 3) WHEN 'completed' THEN 'completed' WHEN 'created' THEN '' ELSE 'n' || k END AS note, ts, id
+  FROM z WHERE kind NOT IN ('decided', 'evidence_attached') AND parent IS NOT NULL
+  UNION ALL SELECT art, 'decision:' || lpad(id::VARCHAR, 12, '0'), 'contains', conf, src, '', '', ts, id FROM z WHERE kind = 'decided' AND art IS NOT NULL
+  UNION ALL SELECT 'decision:' || lpad(id::VARCHAR, 12, '0'), 'decision:d' || k, 'because_of', conf, 'explicit', '', '', ts, id FROM z WHERE kind = 'decided'
+  UNION ALL SELECT art, act, 'relates_to', conf, src, '', '', ts, id FROM z WHERE kind = 'evidence_attached' AND art IS NOT NULL
+  UNION ALL SELECT art, 'festival:fest-F' || (k % 50), 'promoted_to', conf, src, '', '', ts, id FROM z WHERE et = 'view' AND k % 7 = 0 AND art IS NOT NULL
+  UNION ALL SELECT act, CASE k % 3 WHEN 0 THEN 'file:out/' || (k % 20) WHEN 1 THEN CASE k % 4 WHEN 0 THEN 'repo:projects/r0' WHEN 1 THEN 'project:r1' ELSE coalesce(art, 'folder:.') END ELSE coalesce(art, 'folder:.') END,
+    'produced', conf, src, CASE k % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'commit' ELSE 'url' END, CASE k % 3 WHEN 0 THEN 'out/' || (k % 20) WHEN 1 THEN 'r' || (k % 4) || '@c' || k ELSE 'https://x/' || k END, ts, id FROM z WHERE kind = 'evidence_attached'),
+o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY from_id, to_id, type ORDER BY ts, id) = 1),
+fx AS (SELECT act, max((ts, id)) AS fix FROM z WHERE kind = 'repaired' GROUP BY act)
+SELECT from_id, to_id, type, subtype, CASE WHEN type = 'produced' AND fx.fix > (ts, id) AND note <> '' THEN note || ' (repaired)' ELSE note END AS note,
+  CASE WHEN type = 'produced' AND fx.fix > (ts, id) THEN 1.0 ELSE conf END::DOUBLE AS confidence, src AS source, ts AS created_at FROM o LEFT JOIN fx ON fx.act = o.from_id""")
+def ledger_edges(spark, d):
+    """All edges a ledger tells."""
+    out = ledger.told_edges(*_whole_ledger(spark, d))
+    return out.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query(_TOLD + """, q AS (SELECT * FROM z WHERE kind = 'evidence_attached'),
+a AS (SELECT act, min(ts) AS created_at, max(ts) AS seen, min((ts, id)) AS first, (list(CASE WHEN k % 11 = 0 THEN 'why' || k ELSE substr(act, 8) END ORDER BY ts, id))[1] AS name,
+  (list('why' || k ORDER BY ts, id) FILTER (k % 11 = 0))[1] AS why FROM q GROUP BY act),
+r AS (SELECT z.act, max(ts) AS fixed, string_agg('n' || k, '; ' ORDER BY ts, id) AS repair_note FROM z JOIN a ON a.act = z.act AND (z.ts, z.id) > a.first WHERE kind = 'repaired' GROUP BY z.act)
+SELECT a.act AS id, name, why, a.created_at, greatest(seen, fixed) AS updated_at, fixed IS NOT NULL AS repaired, coalesce(repair_note, '') AS repair_note FROM a LEFT JOIN r ON r.act = a.act""")
+def ledger_action_facts(spark, d):
+    """Actions with what repaired them."""
+    out = ledger.actions(_whole_ledger(spark, d)[0])
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+
+
+@query(_TOLD + """SELECT art AS artifact, (list(CASE kind WHEN 'completed' THEN 'completed' WHEN 'transitioned' THEN 's' || (k % 3) END ORDER BY ts DESC, id DESC) FILTER (kind IN ('completed', 'transitioned')))[1] AS status,
+  min(ts) AS created_at, max(ts) AS updated_at FROM z WHERE art IS NOT NULL AND kind NOT IN ('decided', 'evidence_attached') GROUP BY art""")
+def ledger_artifacts(spark, d):
+    """The state of artifacts of every kind."""
+    out = ledger.artifact_status(_whole_ledger(spark, d)[0])
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
 
 
 def _log_lines(spark, d):

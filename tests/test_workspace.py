@@ -66,6 +66,12 @@ def test_build_refresh_and_store(spark, root, tmp_path):
     assert ("note:Work/alpha.md", "note:Work/beta x.md", "links_to") in edges and ("festival:demo-DF1", "decision:d1", "contains") in edges
     assert ("festival:demo-DF1", "project:alpha", "links_to") in edges and ids["design_doc:plan"]["status"] == "completed"
     assert all(a in ids and b in ids for a, b, _ in edges)
+    told = {(r["from_id"], r["to_id"], r["type"]): r for r in store.read("edges").collect()}
+    done = told["folder:workflow/design", "design_doc:plan", "contains"], told["folder:.", "design_doc:plan", "contains"]
+    assert [r["subtype"] for r in done] == ["", "completed"] and done[1]["note"] == "completed" and done[1]["created_at"].isoformat() == "2026-07-12T11:00:00"
+    assert ids["decision:d1"]["metadata"] == {"event_id": "d1"} and ids["decision:d1"]["created_at"].isoformat() == "2026-07-12T10:00:00"
+    assert ids["design_doc:plan"]["updated_at"].isoformat() == "2026-07-12T11:00:00"
+    assert first["ledger"] == {"events_read": 2, "events_applied": 2, "events_skipped": 0, "unknown_kinds": 0, "nodes_added": 1, "edges_added": 2, "read_skipped_lines": 1}
     assert store.meta()["unreadable_lines"] == "1" and store.version() == SCHEMA_VERSION
     again = build.refresh_workspace(spark, root, store, probe)
     assert (again["added"], again["changed"], again["deleted"], again["stale_before"]) == (0, 0, 0, False)
