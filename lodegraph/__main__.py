@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+import webbrowser
 
 from lodegraph import __version__
 
@@ -18,6 +19,15 @@ def _session():
     return s
 
 
+def _lines(seen: dict) -> list[str]:
+    """A node's surroundings as text."""
+    out = [f"=== {seen['name']} ===", f"Type:   {seen['type']}", f"Path:   {seen['path']}", *([f"Status: {seen['status']}"] if seen["status"] else [])]
+    for title, arrow in (("outgoing", "→"), ("incoming", "←")):
+        if seen[title]:
+            out += ["", title.capitalize() + ":", *(f"  {arrow} {x['name']} [{x['edge_type']}] ({x['type']})" for x in seen[title])]
+    return [*out, "", f"Neighborhood: {seen['n_nodes']} nodes, {seen['n_edges']} edges ({seen['hops']} hops)"]
+
+
 def main(argv: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(prog="lodegraph")
     sub = a.add_subparsers(dest="command", required=True)
@@ -34,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--untracked", action="store_true")
         if name == "related":
             c.add_argument("--path", required=True)
-        if name in ("query", "related", "render"):
+        if name in ("query", "related", "context", "render"):
             c.add_argument("--mode", default="hybrid")
         if name in ("query", "related"):
             c.add_argument("--limit", type=int, default=20 if name == "query" else 10)
@@ -46,7 +56,8 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--node", default="")
             c.add_argument("--scope", default="")
             c.add_argument("--format", choices=["dot", "json", "html"], default="dot")
-            c.add_argument("--output", required=True)
+            c.add_argument("--output", default="", help="a file; by default one named after the node or the scope")
+            c.add_argument("--open", action="store_true", help="show the file in the browser")
     o = a.parse_args(argv)
     if o.command == "version":
         print(__version__)
@@ -77,28 +88,38 @@ def main(argv: list[str] | None = None) -> int:
         from lodegraph.operators.refresh import status
 
         tables = {t: store.read(t) for t in ("nodes", "edges", "search_docs", "indexed_files")}
-        show({"schema_version": "graph-status/v1alpha1"} | {r["key"]: r["value"] for r in status(store.read("graph_meta"), tables).collect()})
+        probed = {"search_available": search.available(build.stored_index(store))}
+        show({"schema_version": "graph-status/v1alpha1"} | {r["key"]: r["value"] for r in status(store.read("graph_meta"), tables).collect()} | probed)
     elif o.command == "query":
         docs = store.read("search_docs")
-        page = search.search(search.build_index(docs), nodes, search.Options(o.term, o.scope, o.path_prefix, o.type, o.tracked, o.untracked, search.parse_mode(o.mode), o.limit))
+        page = search.search(build.stored_index(store), nodes, search.Options(o.term, o.scope, o.path_prefix, o.type, o.tracked, o.untracked, search.parse_mode(o.mode), o.limit))
         rows = search.ordered(search.with_snippets(page, docs, o.term)).collect()
         show({"schema_version": "graph-query/v1alpha1", "campaign_root": root, "query": o.term, "mode": search.parse_mode(o.mode), "limit": o.limit, "results": [r.asDict() for r in rows]})
     elif o.command == "related":
-        items = search.related(search.build_index(store.read("search_docs")), nodes, edges, o.path, o.mode, o.limit)
+        items = search.related(build.stored_index(store), nodes, edges, o.path, o.mode, o.limit)
         show({"schema_version": "graph-related/v1alpha1", "campaign_root": root, "query_path": o.path, "mode": o.mode, "items": [r.asDict() for r in items.collect()]})
     else:
         if getattr(o, "node", ""):
-            at = search.resolve(search.build_index(store.read("search_docs")), nodes, o.node, by_name=True).head()
+            at = search.resolve(build.stored_index(store), nodes, o.node, by_name=True).head()
             o.node = at["node_id"] if at else o.node
+        if o.command == "context":
+            seen = graph.micrograph(nodes, edges, o.node, o.hops, o.mode)
+            if seen is None:
+                print(f"no node {o.node!r}", file=sys.stderr)
+                return 1
+            show({"schema_version": "graph-context/v1alpha1", **seen}) if o.json else print("\n".join(_lines(seen)))
+            return 0
+        if o.node:
             nodes, edges = graph.neighbourhood(nodes, edges, o.node, o.hops)
-        elif o.command == "render" and o.scope:
+        elif o.scope:
             nodes = graph.scope_slice(nodes, o.scope)
             edges = graph.induced(edges, nodes)
-        if o.command == "context":
-            show({"nodes": [r.asDict() for r in nodes.collect()], "edges": [r.asDict() for r in edges.collect()]})
-        else:
-            edges = graph.mode_filter(edges, o.mode)
-            {"dot": render.write_dot, "json": render.write_json, "html": render.write_html}[o.format](nodes, edges, o.output)
+        edges = graph.mode_filter(edges, o.mode)
+        target = o.output or f"{(o.node or o.scope or 'graph').translate(str.maketrans('/:', '__', chr(92)))}.{o.format}"
+        {"dot": render.write_dot, "json": render.write_json, "html": render.write_html}[o.format](nodes, edges, target)
+        print(target)
+        if o.open:
+            webbrowser.open(f"file://{os.path.realpath(target)}")
     return 0
 
 

@@ -10,6 +10,8 @@ TABLES = {
     "search_docs": "node_id string, title string, rel_path string, scope string, body string, summary string, aliases array<string>, tags array<string>, tracked_state string, updated_at timestamp",
     "indexed_files": "rel_path string, repo_root string, node_id string, tracked_state string, content_hash string, mtime_ns bigint, parser_kind string, scope_id string, indexed_at timestamp",
     "graph_meta": "key string, value string",
+    "postings": "term string, node_id string, col int, pos int",
+    "sizes": "node_id string, len int",
 }
 ENTRIES = "abs_path string, rel_path string, repo_root string, rel_to_repo string, git_state string, is_ignored boolean, is_dir boolean, extension string, path_depth int, size bigint, mtime_ns bigint"
 BOUNDARIES = "abs_path string, rel_path string, is_root boolean, is_submodule boolean, git_dir string"

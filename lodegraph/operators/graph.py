@@ -149,3 +149,26 @@ def preview(edges: DataFrame, node_id: str, most: int = 50) -> DataFrame:
     firsts = [x.orderBy("other", "type").limit(most) for x in (out, into)]
     ranked = firsts[0].unionByName(firsts[1]).withColumn("rank", F.row_number().over(Window.partitionBy("direction").orderBy("other", "type")))
     return ranked.join(F.broadcast(totals), "direction")
+
+
+def focus(edges: DataFrame, nodes: DataFrame, node_id: str, mode: str = "hybrid") -> DataFrame:
+    """direction, edge_type, source, confidence, id, type, name of what a node's edges of a relation mode lead to, each way; ends without a node are left out."""
+    shown = mode_filter(edges, mode)
+    sides = [
+        shown.where(F.col(own) == node_id).select(F.lit(direction).alias("direction"), F.col(other).alias("id"), F.col("type").alias("edge_type"), "source", "confidence")
+        for direction, own, other in (("out", "from_id", "to_id"), ("in", "to_id", "from_id"))
+    ]
+    return sides[0].unionByName(sides[1]).join(nodes.select("id", "type", "name"), "id").select("direction", "edge_type", "source", "confidence", "id", "type", "name")
+
+
+def micrograph(nodes: DataFrame, edges: DataFrame, node_id: str, hops: int = 2, mode: str = "hybrid") -> dict | None:
+    """A node, what its edges lead to each way, and the size of its neighbourhood; None if there is no such node. For one node's edges, which the driver shows."""
+    own = nodes.where(F.col("id") == node_id).select("id", "type", "name", "path", "status").head()
+    if own is None:
+        return None
+    lines = focus(edges, nodes, node_id, mode).orderBy(F.col("direction").desc(), "edge_type", "id").collect()
+    near_nodes, near_edges = neighbourhood(nodes, mode_filter(edges, mode), node_id, hops)
+    return {
+        **own.asDict(), "outgoing": [r.asDict() for r in lines if r["direction"] == "out"], "incoming": [r.asDict() for r in lines if r["direction"] == "in"],
+        "hops": hops, "mode": mode, "n_nodes": near_nodes.count(), "n_edges": near_edges.count(),
+    }

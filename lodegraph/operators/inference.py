@@ -12,7 +12,7 @@ from lodegraph.model import EVIDENCE_WEIGHTS
 
 CANDIDATE_TYPES = ["note", "canvas", "attachment"]
 SOURCES = ["same_folder", "shared_ancestor", "shared_tag", "shared_frontmatter", "shared_repo_root"]
-GROUP_CAP, LEAST_CONFIDENCE, LEAST_TOKENS = 128, 0.30, 3
+GROUP_CAP, PAIR_BUDGET, LEAST_CONFIDENCE, LEAST_TOKENS = 128, 5000, 0.30, 3
 
 
 def groups(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -55,6 +55,14 @@ def candidate_pairs(members: DataFrame, cap: int | None = GROUP_CAP, budget: int
     return pairs
 
 
+def truncated(members: DataFrame, cap: int | None = GROUP_CAP, budget: int | None = PAIR_BUDGET) -> bool:
+    """Whether a cap cuts a group, or there are more pairs than a budget lets through; told by the sizes of groups alone."""
+    sizes = members.distinct().groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.least("n", F.lit(cap)) if cap is not None else F.col("n")
+    cut_off, pairs = sizes.agg(F.max(F.lit(False) if cap is None else F.col("n") > cap), F.sum(kept * (kept - 1) / 2)).head()
+    return bool(cut_off) or (budget is not None and (pairs or 0) > budget)
+
+
 def memberships(members: DataFrame) -> DataFrame:
     """source, value, id, n_members: every member of every group, however large, a row each; what a cap keeps from :func:`candidate_pairs` is here."""
     rows = members.distinct()

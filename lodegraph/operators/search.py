@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import phrases, snippet, tokens
-from lodegraph.session import cut, ship
+from lodegraph.session import cut, shuffle_partitions, ship
 
 COLUMNS = ["title", "rel_path", "scope", "body", "summary", "aliases", "tags"]
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -43,9 +43,14 @@ class Index:
     sizes: DataFrame
     stored: bool = False
 
-    def save(self, path: str, files: int = 64) -> None:
-        """Write the index; postings are sorted by term within hash ranges of it, so that a search skips all other row groups."""
-        self.postings.repartition(files, "term").sortWithinPartitions("term", "node_id").write.mode("overwrite").parquet(f"{path}/postings")
+    def by_term(self, files: int | None = None) -> DataFrame:
+        """The postings laid out to be stored: sorted by term within hash ranges of it, so that a search skips all other row groups."""
+        files = files or shuffle_partitions(self.postings.sparkSession)
+        return self.postings.repartition(files, "term").sortWithinPartitions("term", "node_id")
+
+    def save(self, path: str, files: int | None = None) -> None:
+        """Write the index below a path."""
+        self.by_term(files).write.mode("overwrite").parquet(f"{path}/postings")
         self.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
 
 
@@ -54,6 +59,16 @@ def load_index(docs: DataFrame, path: str) -> Index:
     return Index(docs, read(f"{path}/postings"), read(f"{path}/sizes"), True)
 
 
+def available(index: Index) -> bool:
+    """Whether a search over the index runs, told by one for a word."""
+    try:
+        index.postings.where("term = 'noop'").limit(1).collect()
+        index.sizes.limit(1).collect()
+    except Exception:  # whatever the storage throws
+        return False
+    return True
+
+
 def parse_mode(text: str) -> str:
     """A mode in any case; what isn't one is hybrid."""
     return text.lower() if text.lower() in MODES else "hybrid"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import paths as p
 from lodegraph.model import INDEXED_TYPES, SCHEMA_VERSION
-from lodegraph.operators import inference, ledger, links, metadata, refresh, scopes
+from lodegraph.operators import inference, ledger, links, metadata, refresh, scopes, search
 from lodegraph.session import cut
 from lodegraph.sources import workspace
 from lodegraph.sources.store import Store
@@ -36,6 +37,7 @@ class Graph:
     docs: DataFrame
     files: DataFrame
     report: dict[str, int] = field(default_factory=dict)  #: what the ledger told
+    truncated: bool = False  #: whether inference left pairs out
 
 
 def artifacts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,10 +59,11 @@ def _edge(df: DataFrame, kind: str, source: str, confidence: float = 1.0, subtyp
     return df.select("from_id", "to_id", F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), (F.lit("") if subtype is None else subtype).alias("subtype"), F.lit("").alias("note"))
 
 
-def build(root: str, entries: DataFrame, texts: DataFrame, boundaries: DataFrame, events: DataFrame | None = None) -> Graph:
+def build(root: str, entries: DataFrame, texts: DataFrame, boundaries: DataFrame, events: DataFrame | None = None, cap: int | None = inference.GROUP_CAP, budget: int | None = inference.PAIR_BUDGET) -> Graph:
     """The graph of a workspace from its inventory, texts (rel_path, text) and repositories, and the ledger's events.
 
-    Each pass is cut off from those before it, so that a plan holds one pass only and nothing is derived twice.
+    Each pass is cut off from those before it, so that a plan holds one pass only and nothing is derived twice. ``cap`` and
+    ``budget`` bound inference as the store's format has it; None lets whole groups and all pairs through.
     """
     files = entries.where("not is_dir")
     now = F.current_timestamp()
@@ -127,7 +130,9 @@ def build(root: str, entries: DataFrame, texts: DataFrame, boundaries: DataFrame
     edges = reduce(DataFrame.unionByName, [_edge(contain, "contains", "structural"), *explicit])
     edges = edges.groupBy("from_id", "to_id", "type").agg(F.min(F.struct("subtype", "confidence", "source", "note")).alias("r")).select("from_id", "to_id", "type", "r.confidence", "r.source", "r.subtype", "r.note")
     edges = cut(edges)
-    inferred = inference.inferred_edges(inference.candidate_pairs(inference.groups(nodes, edges)), nodes).select(edges.columns)
+    members = cut(inference.groups(nodes, edges))
+    short = inference.truncated(members, cap, budget)
+    inferred = inference.inferred_edges(inference.candidate_pairs(members, cap, budget), nodes).select(edges.columns)
     fest_files = texts.join(art.where("type = 'festival'").select("id", F.concat("rel", F.lit("/fest.yaml")).alias("rel_path")), "rel_path").select("id", "text")
     intent_files = texts.join(art.where("type = 'intent'").select("id", F.col("rel").alias("rel_path")), "rel_path").select("id", "text")
     stated = metadata.festival_edges(fest_files, nodes).unionByName(metadata.intent_edges(intent_files, nodes)).withColumn("note", F.lit("")).select(edges.columns)
@@ -161,7 +166,7 @@ def build(root: str, entries: DataFrame, texts: DataFrame, boundaries: DataFrame
         nodes = nodes.withColumns({"created_at": now, "updated_at": now})
     edges, _ = ledger.without_dangling(edges, nodes)
     prints = refresh.fingerprints(texts.withColumnRenamed("text", "content")).join(files.select("rel_path", rel_repo.alias("repo_root"), F.col("git_state").alias("tracked_state"), "mtime_ns"), "rel_path").withColumn("indexed_at", now)
-    return Graph(nodes, edges, search_docs(root, nodes, texts), prints, report)
+    return Graph(nodes, edges, search_docs(root, nodes, texts), prints, report, short)
 
 
 def search_docs(root: str, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -188,16 +193,33 @@ def build_workspace(spark: SparkSession, root: str, store: Store, probe=workspac
     events, bad = workspace.events(spark, root)
     unread = bad.count()
     graph = build(base, entries, texts, bounds, events)
-    meta = {"graph_schema_version": SCHEMA_VERSION, "campaign_root": base, "last_refresh_mode": mode, "last_refresh_at": "now", "search_available": "true", "unreadable_lines": str(unread)}
+    docs = cut(graph.docs)
+    index = search.build_index(docs)
+    meta = {"graph_schema_version": SCHEMA_VERSION, "campaign_root": base, "last_refresh_mode": mode, "last_refresh_at": "now", "unreadable_lines": str(unread), "inference_truncated": str(graph.truncated).lower()}
     rows = spark.createDataFrame(list(meta.items()), "key string, value string").withColumn("value", F.when(F.col("key") == "last_refresh_at", p.format_time(F.current_timestamp())).otherwise(F.col("value")))
-    store.save(nodes=graph.nodes, edges=graph.edges, search_docs=graph.docs, indexed_files=graph.files, graph_meta=rows)
-    return {t: store.read(t).count() for t in ("nodes", "edges", "search_docs", "indexed_files")} | {"ledger": graph.report | {"read_skipped_lines": unread}}
+    store.save(nodes=graph.nodes, edges=graph.edges, search_docs=docs, indexed_files=graph.files, graph_meta=rows, postings=index.by_term(), sizes=index.sizes)
+    store.set_meta(search_available=str(search.available(stored_index(store))).lower())
+    return _written(store) | {"ledger": graph.report | {"read_skipped_lines": unread}, "truncated": graph.truncated}
+
+
+def stored_index(store: Store) -> search.Index:
+    """The index of a store, as the last build wrote it."""
+    return search.Index(store.read("search_docs"), store.read("postings"), store.read("sizes"), True)
+
+
+def _written(store: Store) -> dict[str, int]:
+    return {t: store.read(t).count() for t in ("nodes", "edges", "search_docs", "indexed_files")}
 
 
 def refresh_workspace(spark: SparkSession, root: str, store: Store, probe=workspace.git_states) -> dict:
-    """Bring a store up to date: nothing but the meta changes if no file does, else everything is built again."""
+    """Bring a store up to date: nothing but the meta changes if no file does, else everything is built again; ``reindexed`` are then all files."""
+    began = time.monotonic()
+
+    def told(mode: str, stale: bool, diff: dict, rest: dict, built: bool) -> dict:
+        return {"mode": mode, "stale_before": stale, "stale_after": False, **diff, "reindexed": rest["indexed_files"] if built else 0, **rest, "duration_ms": int(1000 * (time.monotonic() - began))}
+
     if store.version() != SCHEMA_VERSION or store.read("nodes").isEmpty():
-        return {"mode": "rebuild", "stale_before": True, "added": 0, "changed": 0, "deleted": 0, **build_workspace(spark, root, store, probe)}
+        return told("rebuild", True, {"added": 0, "changed": 0, "deleted": 0}, build_workspace(spark, root, store, probe), True)
     prior = store.read("indexed_files").select("rel_path", "mtime_ns", "content_hash")
     listed = workspace.inventory(spark, root, probe=probe).where("not is_dir").select("rel_path", "mtime_ns")
     # Only files with another time are read and hashed.
@@ -207,6 +229,6 @@ def refresh_workspace(spark: SparkSession, root: str, store: Store, probe=worksp
     changes = {r["change"]: r["count"] for r in refresh.inventory_diff(prior, now).groupBy("change").count().collect()}
     diff = {k: changes.get(k, 0) for k in ("added", "changed", "deleted")}
     if any(diff.values()):
-        return {"mode": "refresh", "stale_before": True, **diff, **build_workspace(spark, root, store, probe, "refresh")}
+        return told("refresh", True, diff, build_workspace(spark, root, store, probe, "refresh"), True)
     store.set_meta(last_refresh_mode="refresh", last_refresh_at=spark.range(1).select(p.format_time(F.current_timestamp()).alias("t")).first()["t"])
-    return {"mode": "refresh", "stale_before": False, **diff, **{t: store.read(t).count() for t in ("nodes", "edges", "search_docs", "indexed_files")}}
+    return told("refresh", False, diff, _written(store), False)

@@ -145,14 +145,14 @@ def topo_layers_all(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, l AS (SELECT DISTINCT from_id, to_id FROM e),
-w(id, path, d) AS (
+w(id, path, d) USING KEY (id) AS (
   SELECT '{FAR}', ['{FAR}'], 0
-  UNION SELECT * FROM (SELECT l.to_id, list_append(w.path, l.to_id), w.d + 1 FROM w JOIN l ON l.from_id = w.id WHERE w.d < 12
+  UNION SELECT * FROM (SELECT l.to_id, list_append(w.path, l.to_id), w.d + 1 FROM w JOIN l ON l.from_id = w.id WHERE NOT EXISTS (SELECT 1 FROM recurring.w AS r WHERE r.id = l.to_id)
     QUALIFY row_number() OVER (PARTITION BY l.to_id ORDER BY w.path) = 1)),
-p AS (SELECT path FROM w WHERE id = '{TOOLS}' ORDER BY d, path LIMIT 1)
+p AS (SELECT path FROM w WHERE id = '{TOOLS}')
 SELECT (i - 1)::INTEGER AS step, path[i] AS id FROM p, unnest(range(1, len(path) + 1)) AS u(i)""")
 def shortest_path(spark, d):
-    """However many steps it takes; the SQL gives up after 12, so it has no rows where the path is longer."""
+    """However many steps it takes."""
     return g.shortest_path(unique_edges(spark, d), FAR, TOOLS)
 
 
@@ -163,6 +163,15 @@ def preview_caps(spark, d):
     return g.preview(unique_edges(spark, d), HOME)
 
 
+@query(NE + " UNION ALL ".join(f"""SELECT '{m}' AS mode, '{way}' AS direction, e.type AS edge_type, e.source, e.confidence, n.id, n.type, n.name FROM e JOIN n ON n.id = e.{other}
+WHERE e.{own} = '{TOOLS}'""" + (f" AND e.source = '{MODE_SOURCES[m]}'" if m in MODE_SOURCES else "") for m in ("hybrid", "structural", "explicit") for way, own, other in (("out", "from_id", "to_id"), ("in", "to_id", "from_id"))))
+def focus_neighbours(spark, d):
+    """What a node's edges lead to, each way, in three relation modes."""
+    nodes, edges = current_nodes(spark, d), unique_edges(spark, d)
+    modes = [g.focus(edges, nodes, TOOLS, m).withColumn("mode", F.lit(m)) for m in ("hybrid", "structural", "explicit")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
 _STYLE = "(VALUES " + ", ".join(f"('{t}', '{s}', '{c}', '{f}')" for t, (s, c, f) in STYLES.items()) + ") AS st(type, shape, color, fillcolor)"
 _LOOK = ", ".join(f"coalesce(st.{c}, '{v}') AS {c}" for c, v in zip(("shape", "color", "fillcolor"), DEFAULT_STYLE))
 

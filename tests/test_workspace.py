@@ -6,6 +6,7 @@ import os
 import pytest
 
 from lodegraph.model import SCHEMA_VERSION, TABLES
+from lodegraph.operators import graph, search
 from lodegraph.plans import build
 from lodegraph.sources import workspace
 from lodegraph.sources.store import Store
@@ -73,7 +74,16 @@ def test_build_refresh_and_store(spark, root, tmp_path):
     assert ids["design_doc:plan"]["updated_at"].isoformat() == "2026-07-12T11:00:00"
     assert first["ledger"] == {"events_read": 2, "events_applied": 2, "events_skipped": 0, "unknown_kinds": 0, "nodes_added": 1, "edges_added": 2, "read_skipped_lines": 1}
     assert store.meta()["unreadable_lines"] == "1" and store.version() == SCHEMA_VERSION
+    assert store.meta()["search_available"] == "true" and first["reindexed"] == first["indexed_files"] and not first["truncated"]
+    index, nodes = build.stored_index(store), store.read("nodes")
+    found = [r["node_id"] for r in search.ordered(search.search(index, nodes, search.Options("body"))).collect()]
+    plain = [r["node_id"] for r in search.ordered(search.search(search.build_index(store.read("search_docs")), nodes, search.Options("body"))).collect()]
+    assert found == plain == ["note:Work/beta x.md"]
+    seen = graph.micrograph(nodes, store.read("edges"), "note:Work/alpha.md", 1)
+    assert [(x["edge_type"], x["id"]) for x in seen["outgoing"] if x["source"] == "explicit"] == [("links_to", "note:Work/beta x.md"), ("references", "tag:plan")] and seen["n_nodes"] > 3
+    assert graph.micrograph(nodes, store.read("edges"), "note:none") is None
     again = build.refresh_workspace(spark, root, store, probe)
+    assert again["reindexed"] == 0
     assert (again["added"], again["changed"], again["deleted"], again["stale_before"]) == (0, 0, 0, False)
     os.remove(os.path.join(root, "Work", "beta x.md"))
     open(os.path.join(root, "Work", "new.md"), "w").write("n")
