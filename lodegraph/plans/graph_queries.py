@@ -45,9 +45,9 @@ def node_by_id(spark, d):
     return current_nodes(spark, d).where(F.col("id") == HOME).select(*BRIEF)
 
 
-@query(E + f"SELECT from_id, to_id, type FROM e WHERE from_id = '{HOME}'")
+@query(E + f"SELECT from_id, to_id, type FROM e WHERE from_id = '{FAR}'")
 def edges_from(spark, d):
-    return unique_edges(spark, d).where(F.col("from_id") == HOME).select(*LINK)
+    return unique_edges(spark, d).where(F.col("from_id") == FAR).select(*LINK)
 
 
 @query(E + f"SELECT from_id, to_id, type FROM e WHERE to_id = '{HOME}'")
@@ -197,11 +197,13 @@ def dot_lines(spark, d):
     return render.dot_lines(current_nodes(spark, d), unique_edges(spark, d))
 
 
-@query(NE + """SELECT 'node' AS kind, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM n
-UNION ALL SELECT 'edge', count(*), min(from_id), max(from_id) FROM e""")
+@query(NE + """SELECT 'node' AS kind, id AS a, '' AS b, type, name, path, status, NULL::DOUBLE AS confidence, NULL AS source FROM n
+UNION ALL SELECT 'edge', from_id, to_id, type, NULL, NULL, NULL, confidence, source FROM e""")
 def render_json(spark, d):
+    """Every line of the JSON export, read again."""
     rows = render.json_rows(current_nodes(spark, d), unique_edges(spark, d))
-    return rows.groupBy("kind").agg(F.count(F.get_json_object("json", "$.type")).alias("n"), F.min("place.a").alias("first_id"), F.max("place.a").alias("last_id"))
+    read = rows.select("kind", "place", F.from_json("json", "id string, from_id string, to_id string, type string, name string, path string, status string, confidence double, source string").alias("j"))
+    return read.select("kind", F.coalesce("j.id", "j.from_id").alias("a"), F.coalesce("j.to_id", F.lit("")).alias("b"), "j.type", "j.name", "j.path", "j.status", "j.confidence", "j.source")
 
 
 _RANKS = "(VALUES " + ", ".join(f"('{t}', {n})" for n, t in enumerate(NODE_TYPES)) + ") AS r(type, rank)"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.plans import graph_queries, problems, search_queries, workspace_queries
+from lodegraph.plans import graph_queries, problems, search_queries, workspace_queries, written_queries
 
-MODULES = [search_queries, graph_queries, workspace_queries, problems]
+MODULES = [search_queries, graph_queries, workspace_queries, written_queries, problems]
 
 
 def queries() -> dict:

@@ -135,12 +135,6 @@ def deepest_boundary(spark, d):
     return scopes.owner_boundary(_paths(spark, d), "p", _repos(spark, d))
 
 
-@query(f"""WITH fi AS (SELECT rel_path AS p, lower(trim(tracked_state)) AS s FROM indexed_files WHERE rel_path <> ''), a AS (SELECT s, unnest([array_to_string({_SEG}[1:i], '/') for i in range(1, len({_SEG}))]) AS folder FROM fi)
-SELECT folder FROM a GROUP BY folder HAVING bool_or(s = 'ignored') AND NOT coalesce(bool_or(s IN ('tracked', 'untracked')), false)""")
-def ignored_dirs(spark, d):
-    return scopes.ignored_folders(table(spark, d, "indexed_files").where("rel_path != ''"), "rel_path", "tracked_state")
-
-
 _LANG = "(VALUES " + ", ".join(f"('{e}', '{x}')" for e, x in CODE_LANGUAGES.items()) + ") AS la(e, language)"
 
 
@@ -198,22 +192,11 @@ def basename_index(spark, d):
     return links.basename_index(current_nodes(spark, d))
 
 
-def link_resolution(spark, d):
-    """Link edges of the documents with their subtype."""
-    return links.link_edges(_notes(spark, d), _note_nodes(spark, d))
-
-
-def frontmatter_fields(spark, d):
-    return links.note_metadata(_notes(spark, d))
-
-
 @query(f"WITH {NOTES} SELECT rel_path FROM nt WHERE {_EXT.format('rel_path')} IN ('md', 'markdown', 'mdx') AND NOT starts_with(rel_path, '.campaign/intents/') AND NOT regexp_matches(rel_path, '^festivals/[^/]*/[^/]*/[0-9]{{3}}_[^/]*/.*\\.md$')")
 def note_files(spark, d):
     return _notes(spark, d).where(links.is_note(F.col("rel_path"))).select("rel_path")
 
 
-QUERIES |= {f.__name__: f for f in (link_resolution, frontmatter_fields)}
-
 # Inference.
 
 _CAND = NE + f""", c AS (SELECT id, type, name AS p, metadata AS m FROM n WHERE type IN ('note', 'canvas', 'attachment') AND name <> ''),
@@ -323,13 +306,6 @@ def status_counts(spark, d):
     return refresh.status(table(spark, d, "graph_meta"), {t: table(spark, d, t) for t in _COUNTED})
 
 
-@query("SELECT 'rebuild' AS mode, true AS stale_before, 'incompatible' AS verdict")
-def decide_mode(spark, d):
-    meta = table(spark, d, "graph_meta")
-    mode, stale = refresh.decide_mode(meta, table(spark, d, "nodes"))
-    return spark.createDataFrame([(mode, stale, refresh.verdict(meta))], "mode string, stale_before boolean, verdict string")
-
-
 # The ledger, told by the events table: users stand for intents.
 
 _KIND = {"signup": "created", "view": "transitioned", "purchase": "completed", "click": "evidence_attached", "error": "error"}

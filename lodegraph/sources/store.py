@@ -1,14 +1,13 @@
 """A versioned store of the engine's tables.
 
 All tables of a save are written to a new folder, then one small file is replaced to point there. Readers see the old
-state or the new one, never a mixture, and a lost executor only repeats tasks of the write.
+state or the new one, never a mixture, and a lost executor only repeats tasks of the write. Files are handled by Hadoop's
+file systems, so a store may lie wherever Spark can write.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
 import uuid
 
@@ -20,17 +19,59 @@ from lodegraph.model import SCHEMA_VERSION, TABLES
 CURRENT = "_CURRENT"
 
 
+class Files:
+    """The few operations on files that a store needs, below one path of any Hadoop file system."""
+
+    def __init__(self, spark: SparkSession, base: str) -> None:
+        self._jvm, self._gateway = spark._jvm, spark.sparkContext._gateway
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+        fs = self._jvm.org.apache.hadoop.fs
+        self._base = fs.Path(base)
+        self._fs = self._base.getFileSystem(self._conf)
+        self._base = self._fs.makeQualified(self._base)
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self._base, name)
+
+    def read(self, name: str) -> str | None:
+        """The text of a file, None if there is none."""
+        if not self._fs.exists(self._at(name)):
+            return None
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Write a file anew; readers see the old text or the new one."""
+        fs = self._jvm.org.apache.hadoop.fs
+        temporary = self._at(f".{name}-{uuid.uuid4().hex}")
+        stream = self._fs.create(temporary, True)
+        stream.write(text.encode())
+        stream.close()
+        rename = getattr(fs, "Options$Rename")
+        how = self._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        fs.FileContext.getFileContext(self._base.toUri(), self._conf).rename(temporary, self._at(name), how)
+
+    def names(self) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._base)] if self._fs.exists(self._base) else []
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+
 class Store:
     """Tables below ``path``; a store of another schema version reads as empty, as everything in it can be built again."""
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2) -> None:
-        self.spark, self.path, self.keep = spark, path, keep
+        self.spark, self.path, self.keep, self.files = spark, path.rstrip("/"), keep, Files(spark, path)
 
     def _pointer(self) -> dict | None:
         try:
-            with open(os.path.join(self.path, CURRENT), encoding="utf-8") as f:
-                return json.load(f)
-        except (OSError, ValueError):
+            return json.loads(self.files.read(CURRENT) or "null")
+        except ValueError:
             return None
 
     def version(self) -> str | None:
@@ -41,7 +82,7 @@ class Store:
         p = self._pointer()
         if not p or p["schema"] != SCHEMA_VERSION or name not in p["tables"]:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(os.path.join(self.path, p["tables"][name]))
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{p['tables'][name]}")
 
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.read("graph_meta").collect()}
@@ -52,17 +93,13 @@ class Store:
         kept = dict(p["tables"]) if p and p["schema"] == SCHEMA_VERSION else {}
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            self._shaped(df, name).write.parquet(os.path.join(self.path, version, name))
+            self._shaped(df, name).write.parquet(f"{self.path}/{version}/{name}")
             kept[name] = f"{version}/{name}"
-        os.makedirs(self.path, exist_ok=True)
-        temporary = os.path.join(self.path, f".{version}")
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump({"schema": SCHEMA_VERSION, "tables": kept}, f)
-        os.replace(temporary, os.path.join(self.path, CURRENT))
+        self.files.replace(CURRENT, json.dumps({"schema": SCHEMA_VERSION, "tables": kept}))
         used = {x.split("/")[0] for x in kept.values()}
-        old = sorted(x for x in os.listdir(self.path) if x.startswith("v") and x not in used)
+        old = sorted(x for x in self.files.names() if x.startswith("v") and x not in used)
         for x in old[: -self.keep or None]:
-            shutil.rmtree(os.path.join(self.path, x), ignore_errors=True)
+            self.files.delete(x)
 
     def _shaped(self, df: DataFrame, name: str) -> DataFrame:
         fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
