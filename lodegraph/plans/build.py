@@ -133,8 +133,9 @@ def build(root: str, entries: DataFrame, texts: DataFrame, boundaries: DataFrame
     members = cut(inference.groups(nodes, edges))
     short = inference.truncated(members, cap, budget)
     inferred = inference.inferred_edges(inference.candidate_pairs(members, cap, budget), nodes).select(edges.columns)
-    fest_files = texts.join(art.where("type = 'festival'").select("id", F.concat("rel", F.lit("/fest.yaml")).alias("rel_path")), "rel_path").select("id", "text")
-    intent_files = texts.join(art.where("type = 'intent'").select("id", F.col("rel").alias("rel_path")), "rel_path").select("id", "text")
+    # Cut off, or filters on what Python finds in them would be pushed below the joins, to all texts.
+    fest_files = cut(texts.join(art.where("type = 'festival'").select("id", F.concat("rel", F.lit("/fest.yaml")).alias("rel_path")), "rel_path").select("id", "text"))
+    intent_files = cut(texts.join(art.where("type = 'intent'").select("id", F.col("rel").alias("rel_path")), "rel_path").select("id", "text"))
     stated = metadata.festival_edges(fest_files, nodes).unionByName(metadata.intent_edges(intent_files, nodes)).withColumn("note", F.lit("")).select(edges.columns)
     # Of equal (from, to, type) the earlier pass counts.
     key = ["from_id", "to_id", "type"]
@@ -185,11 +186,12 @@ def search_docs(root: str, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def build_workspace(spark: SparkSession, root: str, store: Store, probe=workspace.git_states, mode: str = "rebuild") -> dict[str, int]:
     """Scan a workspace and save its graph; the counts saved."""
-    entries = workspace.inventory(spark, root, probe=probe)
-    bounds = workspace.boundaries(spark, root)
+    entries = cut(workspace.inventory(spark, root, probe=probe))
+    bounds = cut(workspace.boundaries(spark, root))
     base = bounds.where("is_root").first()["abs_path"]
     kept = entries.where("not is_dir").select("rel_path")
-    texts = workspace.texts(spark, root, "*").join(kept, "rel_path", "left_semi")
+    # Read once from the many small files; every pass works on the copy.
+    texts = cut(workspace.texts(spark, root, "*").join(kept, "rel_path", "left_semi"))
     events, bad = workspace.events(spark, root)
     unread = bad.count()
     graph = build(base, entries, texts, bounds, events)
