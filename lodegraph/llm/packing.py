@@ -4,22 +4,25 @@ Everything global happens on the histogram of item lengths, which has at most ``
 there are. Patterns of few lengths that fill a container exactly are enumerated, their repeat counts are fitted to the
 histogram by non-negative least squares and rounded down; what is left of the histogram is packed best-fit, long items
 first, again by counts. The outcome is a plan of bounded size: intervals of ranks within a length and the containers they
-go to. Items get their rank within their length, and with it their container, by a broadcast of that plan.
+go to. Items get their rank within their length, and look their container up in that plan by binary search.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.session import cut
+from lodegraph.session import cut, ship
 
-#: Patterns enumerated at most for each length, lengths of a pattern at most, parts a length's items are ranked in.
-PATTERNS_EACH, DEEPEST, SALTS = 3, 8, 32
+#: Patterns enumerated at most for each length, lengths of a pattern at most.
+PATTERNS_EACH, DEEPEST = 3, 8
+RANKED_AT_ONCE = 250_000  #: items of a length that are ranked in one part; a common length falls into as many as it takes
 SCALES = (1.0, 0.9, 0.75, 0.5, 0.25)  #: of the fitted repeats, tried in turn
 
 
@@ -178,31 +181,46 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     whole = F.floor(F.col("n") / capacity).cast("int")
     rest = F.col("n") % capacity
     loose = sized.where(rest > 0).select("key", whole.alias("piece"), (whole.cast("bigint") * capacity).alias("first"), rest.cast("int").alias("size"))
-    loose = loose.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    # At most capacity * SALTS counts reach the driver.
-    counted = loose.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["size", "salt"])
+    # At most ``capacity`` counts reach the driver, then a count for each part that items are ranked in.
     histogram = np.zeros(capacity + 1, np.int64)
-    np.add.at(histogram, counted["size"].to_numpy(int), counted["n"].to_numpy(int))
-    spark = items.sparkSession
-    offsets = spark.createDataFrame(
-        counted.assign(base=counted.groupby("size")["n"].cumsum() - counted["n"])[["size", "salt", "base"]].astype("int64"),
-        "size bigint, salt bigint, base bigint",
-    ) if len(counted) else spark.createDataFrame([], "size bigint, salt bigint, base bigint")
+    for r in loose.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect():
+        histogram[r["size"]] = r["n"]
+    parts = np.maximum(1, -(-histogram // RANKED_AT_ONCE)).astype(int)
+    many = [(F.col("size") == int(n), int(parts[n])) for n in np.flatnonzero(parts > 1)]
+    salts = F.lit(1)
+    for hit, n in many:
+        salts = F.when(hit, n).otherwise(salts)
+    loose = loose.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int"))
+    counts = {(r["size"], r["salt"]): r["n"] for r in loose.where(F.col("size").isin(np.flatnonzero(parts > 1).tolist())).groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).collect()} if many else {}
+    begins = {n: np.concatenate([[0], np.cumsum([counts.get((n, k), 0) for k in range(parts[n])])[:-1]]) for n in np.flatnonzero(parts > 1).tolist()}
     # Ranks of a length are dealt to the slots of the plan in order.
     taken, number, intervals = defaultdict(int), 0, []
     for lengths, times in plan_of(histogram, capacity):
         place = 0
         for length in lengths:
-            begin = taken[length]
-            intervals.append((length, begin, begin + times, number, place))
-            taken[length] = begin + times
+            intervals.append((length << 40 | taken[length], number, place))
+            taken[length] += times
             place += length
         number += times
-    plan = spark.createDataFrame(intervals, "size int, begin bigint, end bigint, number bigint, place int")
+    at, first_of, place_of = (np.array(c, np.int64) for c in zip(*sorted(intervals))) if intervals else (np.zeros(0, np.int64),) * 3
     rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy("key", "piece")) - 1
-    ranked = loose.withColumn("rank", rank).join(F.broadcast(offsets), ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
-    packed = ranked.join(F.broadcast(plan), "size").where("rank >= begin and rank < end")
-    packed = packed.select("key", "piece", "first", "size", F.concat(F.lit("p"), (F.col("number") + F.col("rank") - F.col("begin")).cast("string")).alias("container"), "place")
+    ship(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, salt = batch.column("size").to_numpy().astype(np.int64), batch.column("salt").to_numpy()
+            ranks = batch.column("rank").to_numpy().astype(np.int64)
+            for n, begin in begins.items():
+                here = size == n
+                ranks[here] += begin[salt[here]]
+            rank_of = size << 40 | ranks
+            on = np.searchsorted(at, rank_of, "right") - 1
+            containers = pa.array((first_of[on] + rank_of - at[on]).astype(str))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "piece", "first", "size")], containers, pa.array(place_of[on].astype(np.int32))], names=["key", "piece", "first", "size", "container", "place"])
+
+    kind = loose.schema["key"].dataType.simpleString()
+    packed = loose.withColumn("rank", rank).mapInArrow(run, f"key {kind}, piece int, first bigint, size int, container string, place int")
+    packed = packed.withColumn("container", F.concat(F.lit("p"), "container"))
     filled = sized.where(whole > 0).select("key", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
     filled = filled.select(
         "key", "piece", (F.col("piece").cast("bigint") * capacity).alias("first"), F.lit(capacity).alias("size"),

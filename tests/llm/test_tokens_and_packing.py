@@ -109,6 +109,17 @@ def test_packing_of_short_items_by_volume(spark, capacity, top, n):
     assert check(out, sizes, capacity) <= sum(sizes.values()) / capacity * 1.02 + 2
 
 
+def test_common_lengths_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", 50)
+    rnd = random.Random(3)
+    sizes = {i: 17 if i % 3 == 0 else rnd.randrange(1, 80) for i in range(1200)}
+    df = spark.createDataFrame(list(sizes.items()), "key bigint, n bigint")
+    out = packing.pack(df, "key", "n", 64).collect()
+    check(out, sizes, 64)
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", 10**6)
+    assert len({r["container"] for r in out}) == len({r["container"] for r in packing.pack(df, "key", "n", 64).collect()})
+
+
 def test_packing_by_patterns_and_edges(spark):
     counts = np.zeros(101, np.int64)
     counts[[60, 40, 25, 50]] = [1000, 1000, 400, 200]
