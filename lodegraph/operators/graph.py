@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from lodegraph.session import cut, shuffle_partitions
 
 #: Ids of a layer that are broadcast at most; larger layers are joined by shuffle.
 BROADCAST_MOST = 20_000
+#: Frontiers of a search that are kept apart before they are put together.
+SEEN_PARTS = 8
 
 
 class GraphError(ValueError):
@@ -125,13 +129,15 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int | None =
     spark = edges.sparkSession
     links = cut(edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct())
     frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
-    seen, step = frontier.select("id"), 0
+    seen, step = [frontier.select("id")], 0
     at = F.when(F.col("id") == target, F.col("path"))
     while (now := frontier.agg(F.min(at).alias("path"), F.count(F.lit(1)).alias("n")).head())["path"] is None and now["n"] and step != most:
         grown = links.join(frontier, "id").groupBy(F.col("next").alias("id")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-        frontier = cut(grown.join(seen, "id", "left_anti"))
-        # A union has the parts of both sides; unless they are put together they grow with the steps.
-        seen, step = cut(seen.unionByName(frontier.select("id")).coalesce(shuffle_partitions(spark))), step + 1
+        frontier = cut(grown.join(reduce(DataFrame.unionByName, seen), "id", "left_anti"))
+        # The frontiers themselves are what was seen; they are put together now and then, or plans would grow with the steps.
+        seen, step = [*seen, frontier.select("id")], step + 1
+        if len(seen) > SEEN_PARTS:
+            seen = [cut(reduce(DataFrame.unionByName, seen).coalesce(shuffle_partitions(spark)))]
     path = now["path"] or []
     return spark.createDataFrame([(n, x) for n, x in enumerate(path)], "step int, id string")
 
