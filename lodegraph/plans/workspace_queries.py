@@ -462,10 +462,11 @@ def _log_lines(spark, d):
     return e.select("v", "id", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "kind", nothing.alias("action"), "scope", "why", nothing.alias("payload"), F.lit(None).cast("array<struct<type:string,repo:string,sha:string,path:string,url:string>>").alias("evidence"), nothing.alias("source"))
 
 
-@query(f"""WITH {NOTES}, l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM nt WHERE starts_with(text, '{{"v"')), j AS (SELECT json_extract_string(line, '$.id') AS id, json_extract_string(line, '$.kind') AS kind, json_extract_string(line, '$.why') AS why FROM l WHERE line <> '' AND json_valid(line))
-SELECT DISTINCT 'decision:' || id AS id, coalesce(nullif(why, ''), id) AS name FROM j WHERE kind = 'decided'""")
+@query(f"""WITH {NOTES}, l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM nt), v AS (SELECT CASE WHEN regexp_matches(line, '^\\s*\\{{') AND json_valid(line) THEN line END AS line FROM l),
+j AS (SELECT json_extract_string(line, '$.id') AS id, json_extract_string(line, '$.kind') AS kind, json_extract_string(line, '$.why') AS why FROM v WHERE line IS NOT NULL)
+SELECT DISTINCT 'decision:' || id AS id, coalesce(nullif(why, ''), id) AS name FROM j WHERE kind = 'decided' AND id IS NOT NULL""")
 def ledger_decisions(spark, d):
-    """Of all documents; the SQL passes over those that don't start with an event."""
+    """Of all documents, wherever in their text an event stands."""
     return ledger.decisions(ledger.prepared(_log_lines(spark, d))).select("id", "name")
 
 
