@@ -186,8 +186,9 @@ def search_docs(root: str, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def build_workspace(spark: SparkSession, root: str, store: Store, probe=workspace.git_states, mode: str = "rebuild") -> dict[str, int]:
     """Scan a workspace and save its graph; the counts saved."""
-    entries = cut(workspace.inventory(spark, root, probe=probe))
-    bounds = cut(workspace.boundaries(spark, root))
+    listed = workspace.tree(spark, root)
+    entries = cut(workspace.inventory(spark, root, probe=probe, listed=listed))
+    bounds = cut(workspace.boundaries(spark, root, listed))
     base = bounds.where("is_root").first()["abs_path"]
     kept = entries.where("not is_dir").select("rel_path")
     # Read once from the many small files; every pass works on the copy.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
 
@@ -19,8 +18,8 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where that is unset, a folder of our own is made,
-    and removed at the end; on a cluster a folder of one machine would be lost with it, so there it is an error.
+    The cluster names it in ``spark.checkpoint.dir``. Only where all runs on one machine and that is unset, a folder of our own is
+    made, and removed at the end; on a cluster a folder of one machine would be lost with it, so there it is an error.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
@@ -28,7 +27,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
-        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        if not context.master.startswith("local"):  # local, local[n], local-cluster[...]: one machine
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lodegraph-", dir=os.environ.get("TMPDIR"))
         atexit.register(shutil.rmtree, named, ignore_errors=True)

@@ -1,25 +1,33 @@
 """Reading a workspace: repositories, inventory with git states, contents, event logs.
 
-Listing a tree is metadata work and is done where the tree is mounted; contents are read by Spark's binary file source, in
-parallel, and only for the columns a plan asks for.
+Trees are listed by tasks, round by round: each task walks the folders it gets up to a number of entries and hands the rest on,
+so that a small workspace takes one round and a large one spreads over the executors. Contents are read by Spark's binary
+file source, in parallel, and only for the columns a plan asks for. The tree must be mounted wherever tasks run.
 """
 
 from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Callable
+import sys
+from collections import deque
+from collections.abc import Callable, Iterator
 from fnmatch import fnmatch
+from functools import reduce
+from itertools import islice
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.model import BOUNDARIES, ENTRIES, EVENTS
-from lodegraph.session import ship
+from lodegraph.functions import paths as p
+from lodegraph.model import BOUNDARIES, EVENTS
+from lodegraph.session import cut, ship
 
 Probe = Callable[[str], dict[str, str]]
 ROOT_VARIABLE = "CAMP_ROOT"
+LISTED_AT_ONCE = 20_000  #: entries that a task lists below one folder before it hands on what is left
 
 
 def find_root(start: str = ".") -> str:
@@ -54,24 +62,69 @@ def submodule_paths(root: str) -> set[str]:
     return {v.strip() for k, eq, v in (x.partition("=") for x in lines) if eq and k.strip() == "path" and v.strip()}
 
 
-def boundary_rows(root: str) -> list[tuple]:
-    """The root and every repository below it; nothing inside a repository is looked at further."""
+def tree(spark: SparkSession, root: str, at_once: int = LISTED_AT_ONCE) -> DataFrame:
+    """Everything below a folder but ``.git``: path, owner (the repository it lies in, else the root), repo, is_dir, size, mtime_ns.
+
+    repo marks the folder of a repository that lies in no other one. Links to folders are listed, not followed.
+    """
+    ship(spark)
     root = os.path.realpath(root)
-    known = submodule_paths(root)
-    rows = [(root, ".", True, False, os.path.join(root, ".git") if is_repository(root) else "")]
-    for folder, names, _ in os.walk(root):
-        names[:] = sorted(n for n in names if n != ".git")
-        for n in list(names):
-            path = os.path.join(folder, n)
-            if is_repository(path):
-                rel = os.path.relpath(path, root).replace(os.sep, "/")
-                rows.append((path, rel, False, rel in known, os.path.join(path, ".git")))
-                names.remove(n)
-    return sorted(rows)
 
+    def walk(folder: str, owner: str) -> Iterator[tuple]:
+        todo, seen = deque([(folder, owner)]), 0
+        while todo and seen < at_once:
+            here, owner = todo.popleft()
+            try:
+                found = sorted(os.scandir(here), key=lambda x: x.name)
+            except OSError:
+                continue
+            for x in found:
+                if x.name == ".git":
+                    continue
+                try:
+                    info, is_dir = x.stat(), x.is_dir()
+                except OSError:
+                    continue
+                inside = is_dir and not x.is_symlink()
+                repo = inside and owner == root and is_repository(x.path)
+                seen += 1
+                yield x.path, owner, repo, is_dir, info.st_size, info.st_mtime_ns, False
+                if inside:
+                    todo.append((x.path, x.path if repo else owner))
+        for path, owner in todo:
+            yield path, owner, False, True, 0, 0, True
 
-def boundaries(spark: SparkSession, root: str) -> DataFrame:
-    return spark.createDataFrame(boundary_rows(root), BOUNDARIES)
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for folder, owner in zip(batch["path"], batch["owner"]):
+                rows = walk(folder, owner)
+                while some := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(some, columns=["path", "owner", "repo", "is_dir", "size", "mtime_ns", "pending"])
+
+    parts, frontier = [], spark.createDataFrame([(root, root)], "path string, owner string")
+    while True:
+        listed = cut(frontier.mapInPandas(run, "path string, owner string, repo boolean, is_dir boolean, size bigint, mtime_ns bigint, pending boolean"))
+        parts.append(listed.where("not pending").drop("pending"))
+        left = listed.where("pending").select("path", "owner")
+        if not (n := left.count()):
+            return reduce(DataFrame.unionByName, parts)
+        frontier = left.repartition(min(n, spark.sparkContext.defaultParallelism * 4), "path")
+
+
+def _below(path: str, folder: str) -> Column:
+    return F.expr(f"substring({path}, {len(folder) + 2})")
+
+
+def boundaries(spark: SparkSession, root: str, listed: DataFrame | None = None) -> DataFrame:
+    """The root and every repository below it; nothing inside a repository is looked at further. ``listed`` is the :func:`tree`."""
+    root = os.path.realpath(root)
+    known = spark.createDataFrame([(x,) for x in sorted(submodule_paths(root))], "rel_path string").withColumn("_sub", F.lit(True))
+    found = (tree(spark, root) if listed is None else listed).where("repo").select(F.col("path").alias("abs_path"), _below("path", root).alias("rel_path"))
+    repos = found.join(known, "rel_path", "left").select("abs_path", "rel_path", F.lit(False).alias("is_root"), F.coalesce("_sub", F.lit(False)).alias("is_submodule"), F.concat("abs_path", F.lit("/.git")).alias("git_dir"))
+    own = spark.createDataFrame([(root, ".", True, False, os.path.join(root, ".git") if is_repository(root) else "")], BOUNDARIES)
+    return own.unionByName(repos)
 
 
 def git_states(repo: str) -> dict[str, str]:
@@ -86,44 +139,68 @@ def git_states(repo: str) -> dict[str, str]:
     return out
 
 
-def inventory(spark: SparkSession, root: str, with_ignored: bool = False, probe: Probe = git_states, skip: tuple[str, ...] = ()) -> DataFrame:
+def states(repos: DataFrame, probe: Probe = git_states) -> DataFrame:
+    """repo, inner, state of the files that a probe knows of repositories (one column ``repo``); each is asked in a task."""
+    spark = repos.sparkSession
+    ship(spark)
+    module = sys.modules[probe.__module__]
+    foreign = not probe.__module__.startswith("lodegraph.")
+    if foreign:  # a caller's function goes by value, its module need not be there
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        packed = cloudpickle.dumps(probe)
+    finally:
+        if foreign:
+            cloudpickle.unregister_pickle_by_value(module)
+
+    def run(batches):
+        import pickle
+
+        import pandas as pd
+
+        ask = pickle.loads(packed)
+        for batch in batches:
+            for repo in batch["repo"]:
+                rows = iter(ask(repo).items())
+                while some := list(islice(rows, 10_000)):
+                    yield pd.DataFrame([(repo, k, v) for k, v in some], columns=["repo", "inner", "state"])
+
+    return repos.repartition("repo").mapInPandas(run, "repo string, inner string, state string")
+
+
+def inventory(spark: SparkSession, root: str, with_ignored: bool = False, probe: Probe = git_states, skip: tuple[str, ...] = (), listed: DataFrame | None = None) -> DataFrame:
     """Every file and folder of the workspace with its repository and git state (``model.ENTRIES``), to be ordered by rel_path.
 
     Files no probe knows are ``unknown``, as folders are. Ignored files, and folders that hold nothing else, are left out
-    unless asked for. ``skip`` has relative paths to leave out, such as the store's own.
+    unless asked for. ``skip`` has relative paths to leave out, such as the store's own. ``listed`` is the :func:`tree`.
     """
     root = os.path.realpath(root)
-    own = boundary_rows(root)
-    inside = {r[0] for r in own}
-    rows = []
-    for repo, rel, *_ in own:
-        states = probe(repo)
-        kept_dirs = {d for path, s in states.items() if s != "ignored" for d in _above(path)}
-        lost_dirs = {d for path, s in states.items() if s == "ignored" for d in _above(path)} - kept_dirs
-        for folder, names, files in os.walk(repo):
-            names[:] = sorted(n for n in names if n != ".git" and os.path.join(folder, n) not in inside)
-            for n, is_dir in [(n, True) for n in names] + [(n, False) for n in sorted(files) if n != ".git"]:
-                path = os.path.join(folder, n)
-                inner = os.path.relpath(path, repo).replace(os.sep, "/")
-                outer = os.path.relpath(path, root).replace(os.sep, "/")
-                state = "unknown" if is_dir else states.get(inner, "unknown")
-                ignored = inner in lost_dirs if is_dir else state == "ignored"
-                if outer in skip or (ignored and not with_ignored):
-                    if is_dir:
-                        names.remove(n)
-                    continue
-                try:
-                    info = os.stat(path)
-                except OSError:
-                    continue
-                ext = "" if is_dir or "." not in n else n.rsplit(".", 1)[1].lower()
-                rows.append((path, outer, repo, inner, state, ignored, is_dir, ext, outer.count("/") + 1, info.st_size, info.st_mtime_ns))
-    return spark.createDataFrame(sorted(rows, key=lambda r: r[1]), ENTRIES)
-
-
-def _above(path: str) -> list[str]:
-    parts = path.rstrip("/").split("/")
-    return ["/".join(parts[:i]) for i in range(1, len(parts) + (path.endswith("/")))]
+    listed = tree(spark, root) if listed is None else listed
+    repos = listed.where("repo").select(F.col("path").alias("repo")).union(spark.createDataFrame([(root,)], "repo string"))
+    known = cut(states(repos, probe))
+    seen = known.select("repo", F.explode(p.ancestors(F.col("inner"))).alias("folder"), (F.col("state") == "ignored").alias("gone"))
+    lost = cut(seen.groupBy("repo", "folder").agg(F.bool_and("gone").alias("gone")).where("gone").select("repo", "folder"))
+    outer = _below("path", root)
+    rows = listed.where("not repo").select("*", outer.alias("rel_path"), F.expr("substring(path, length(owner) + 2)").alias("inner"))
+    for x in skip:
+        rows = rows.where((F.col("rel_path") != x) & ~F.col("rel_path").startswith(x + "/"))
+    dirs = lost.select(F.col("repo").alias("owner"), F.col("folder").alias("inner"), F.lit(True).alias("lost"))
+    files = known.select(F.col("repo").alias("owner"), "inner", "state")
+    rows = rows.join(files, ["owner", "inner"], "left").join(dirs, ["owner", "inner"], "left")
+    ignored = F.when(F.col("is_dir"), F.coalesce("lost", F.lit(False))).otherwise(F.coalesce(F.col("state") == "ignored", F.lit(False)))
+    rows = rows.withColumn("is_ignored", ignored)
+    if not with_ignored and not lost.isEmpty():
+        above = rows.select("owner", "inner", F.explode(p.ancestors(F.col("inner"))).alias("folder"))
+        inside = above.join(lost.withColumnRenamed("repo", "owner"), ["owner", "folder"], "left_semi").select("owner", "inner").distinct()
+        rows = rows.join(inside, ["owner", "inner"], "left_anti")
+    if not with_ignored:
+        rows = rows.where("not is_ignored")
+    name = p.basename(F.col("rel_path"))
+    ext = F.when(F.col("is_dir") | ~F.contains(name, F.lit(".")), "").otherwise(F.lower(F.substring_index(name, ".", -1)))
+    return rows.select(
+        F.col("path").alias("abs_path"), "rel_path", F.col("owner").alias("repo_root"), F.col("inner").alias("rel_to_repo"), F.when(F.col("is_dir"), "unknown").otherwise(F.coalesce("state", F.lit("unknown"))).alias("git_state"),
+        "is_ignored", "is_dir", ext.alias("extension"), p.depth(F.col("rel_path")).cast("int").alias("path_depth"), "size", "mtime_ns",
+    )
 
 
 def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -170,5 +247,6 @@ def events(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     if not os.path.isdir(path):
         none = spark.createDataFrame([], schema)
         return none.drop("_bad"), none.select("_bad")
-    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path).cache()
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path)
+    read = cut(read)  # the column of unread lines can't be asked for by itself otherwise
     return read.where("_bad is null and id is not null").drop("_bad"), read.where("_bad is not null").select("_bad")

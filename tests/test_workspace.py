@@ -55,6 +55,25 @@ def test_inventory(spark, root):
     assert workspace.find_root(os.path.join(root, "Work")) == root
 
 
+def test_tree_in_rounds(spark, root, tmp_path):
+    """The same rows whatever a task lists at once; repositories within repositories, links and git's own folders by the rules."""
+    for path in ("projects/tool/vendor/inner/.git/HEAD", "projects/tool/vendor/inner/x.py", "deep/a/b/c/d.md", "link.md"):
+        (tmp_path / "ws" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "ws" / path).write_text("x")
+    os.symlink(tmp_path / "ws" / "Work", tmp_path / "ws" / "loop")
+    os.symlink(tmp_path / "none", tmp_path / "ws" / "broken")
+    want = set()
+    for folder, names, files in os.walk(root):
+        names[:] = [n for n in names if n != ".git"]
+        want |= {os.path.join(folder, n) for n in names + files if os.path.exists(os.path.join(folder, n))}
+    for at_once in (1, 3, 10_000):
+        rows = {r["path"]: r for r in workspace.tree(spark, root, at_once).collect()}
+        assert set(rows) == want and {k for k, r in rows.items() if r["repo"]} == {f"{root}/projects/tool"}
+        assert rows[f"{root}/projects/tool/vendor/inner/x.py"]["owner"] == f"{root}/projects/tool" and rows[f"{root}/loop"]["is_dir"]
+    own = {r["rel_path"] for r in workspace.inventory(spark, root, probe=probe, skip=("deep/a",)).collect()}
+    assert "projects/tool" not in own and "projects/tool/vendor/inner/x.py" in own and "deep" in own and not any(x.startswith("deep/") for x in own)
+
+
 def test_build_refresh_and_store(spark, root, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     first = build.refresh_workspace(spark, root, store, probe)
