@@ -94,10 +94,11 @@ def test_slices():
     assert [b.column(0).to_pylist() for b in got] == [[1], [2, 3], [4], [5, 6, 7]]
 
 
-@pytest.mark.parametrize("batch", ["3", "10000"])
+@pytest.mark.parametrize("batch,hot", [("3", 250_000), ("10000", 250_000), ("7", 1)])
 @pytest.mark.parametrize("bucket", [2, 7, 100])
-def test_buckets_across_batches(spark, batch, bucket):
-    """Paths that lie across batches, and those with more rows than a bucket holds, are told alike whatever the batch size."""
+def test_buckets_across_batches(spark, monkeypatch, batch, hot, bucket):
+    """Paths that lie across batches, and those with more rows than a bucket holds, moved or not, are told alike whatever the batch size."""
+    monkeypatch.setattr(nd, "HOT_LEAST", hot)
     rnd = random.Random(bucket)
     rows = [(rnd.choice([1, 1, 1, 2, 3, 4 + k % 20]), k, None, 30, *[rnd.getrandbits(62) if rnd.random() < 0.5 else 7 for _ in range(2)]) for k in range(120)]
     df = spark.createDataFrame(rows, "path bigint, code bigint, parent bigint, n int, s0 bigint, s1 bigint")
