@@ -11,7 +11,7 @@ from lodegraph.model import MODE_SOURCES
 from lodegraph.session import cut, shuffle_partitions
 
 
-#: Ids of a layer that are broadcast at most; larger layers are joined by shuffle.
+#: Ids of a layer, or of the paths of a frontier, that are broadcast at most; larger ones are joined by shuffle.
 BROADCAST_MOST = 20_000
 #: Frontiers of a search that are kept apart before they are put together.
 SEEN_PARTS = 8
@@ -132,7 +132,9 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int | None =
     seen, step = [frontier.select("id")], 0
     at = F.when(F.col("id") == target, F.col("path"))
     while (now := frontier.agg(F.min(at).alias("path"), F.count(F.lit(1)).alias("n")).head())["path"] is None and now["n"] and step != most:
-        grown = links.join(frontier, "id").groupBy(F.col("next").alias("id")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+        # A counted, small frontier goes to the links, which then need no shuffle.
+        near = F.broadcast(frontier) if now["n"] * (step + 1) <= BROADCAST_MOST else frontier
+        grown = links.join(near, "id").groupBy(F.col("next").alias("id")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
         frontier = cut(grown.join(reduce(DataFrame.unionByName, seen), "id", "left_anti"))
         # The frontiers themselves are what was seen; they are put together now and then, or plans would grow with the steps.
         seen, step = [*seen, frontier.select("id")], step + 1
