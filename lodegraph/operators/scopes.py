@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ def folders(entries: DataFrame, path: str) -> DataFrame:
 def folder_kinds(folders: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
     """folder, kind: of a repository or submodule if ``boundaries`` (rel_path, is_submodule) has it, else a bucket, what lies below one, or the user's own."""
     bucket = F.col("folder").isin(BUCKETS)
-    owned = F.col("folder").rlike("^(projects|festivals|workflow|[.]campaign)/")
+    tops = dict.fromkeys(b.split("/")[0] for b in BUCKETS)
+    owned = reduce(Column.__or__, [F.col("folder").startswith(f"{t}/") for t in tops])
     kind = F.when(F.col("folder") == ".", "campaign_root").when(bucket, "campaign_bucket").when(owned, "artifact_scope").otherwise("user_scope")
     if boundaries is None:
         return folders.select("folder", kind.alias("kind"))

@@ -164,3 +164,30 @@ def test_decisions_after_other_text(spark, tmp_path):
     spark.createDataFrame(rows, "rel_path string, text string, updated_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["id"], r["name"]) for r in registry.queries()["ledger_decisions"](spark, str(tmp_path)).collect())
     assert got == [("decision:a", "first"), ("decision:c", "c"), ("decision:d", "late"), ("decision:e", "e")]
+
+
+def test_commands(spark, root, tmp_path, capsys, monkeypatch):
+    from lodegraph.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    where = ["--root", root, "--store", str(tmp_path / "st")]
+
+    def run(*args):
+        code = main([args[0], *where, *args[1:]])
+        return code, capsys.readouterr()
+
+    code, out = run("build")
+    assert code == 0 and json.loads(out.out)["ledger"]["events_applied"] == 2
+    code, out = run("status")
+    told = json.loads(out.out)
+    assert told["search_available"] is True and told["stale"] == "false" and int(told["nodes_count"]) > 10
+    assert [r["node_id"] for r in json.loads(run("query", "body")[1].out)["results"]] == ["note:Work/beta x.md"]
+    assert "note:Work/beta x.md" in {r["node_id"] for r in json.loads(run("related", "--path", "Work/alpha.md")[1].out)["items"]}
+    code, out = run("context", "Work/alpha.md", "--hops", "1")
+    assert code == 0 and "→ Work/beta x.md [links_to] (note)" in out.out and "Neighborhood: " in out.out
+    code, out = run("context", "Work/alpha.md", "--json", "--mode", "explicit")
+    assert {x["source"] for x in json.loads(out.out)["outgoing"]} == {"explicit"}
+    code, out = run("context", "zzz nothing")
+    assert code == 1 and "no node" in out.err
+    code, out = run("render", "--node", "note:Work/alpha.md", "--format", "html")
+    assert code == 0 and (tmp_path / out.out.strip()).exists() and "/" not in out.out.strip()
