@@ -9,7 +9,7 @@ from lodegraph.functions import paths as p
 from lodegraph.model import BUCKETS, CODE_LANGUAGES, EVIDENCE_WEIGHTS
 from lodegraph.operators import inference, ledger, links, refresh, scopes
 from lodegraph.plans.views import EDGES_SQL, NODES_SQL, current_nodes, last_wins, unique_edges
-from lodegraph.session import table
+from lodegraph.session import cut, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -286,8 +286,8 @@ SELECT coalesce(a.rel_path, b.rel_path) AS rel_path, CASE WHEN a.rel_path IS NUL
   WHEN a.mtime_ns IS DISTINCT FROM b.mtime_ns AND NOT coalesce(a.content_hash = b.content_hash, false) THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.rel_path = b.rel_path""")
 def inventory_diff(spark, d):
     files = table(spark, d, "indexed_files")
-    cut = F.lit(_CUT).cast("timestamp_ntz")
-    return refresh.inventory_diff(_state(files.where(F.col("indexed_at") < cut)), _state(files.where(F.col("indexed_at") >= cut)))
+    day = F.lit(_CUT).cast("timestamp_ntz")
+    return refresh.inventory_diff(_state(files.where(F.col("indexed_at") < day)), _state(files.where(F.col("indexed_at") >= day)))
 
 
 @query(f"WITH {NOTES} SELECT rel_path, 'note:' || rel_path AS node_id, sha256(text) AS content_hash, 'note' AS parser_kind, 'folder:' || {_PARENT.format('rel_path')} AS scope_id FROM nt")
@@ -410,7 +410,8 @@ def _whole_ledger(spark, d):
     every = nodes[0]
     for x in nodes[1:]:
         every = every.unionByName(x)
-    return ledger.resolved(ledger.prepared(events), every), every
+    every = cut(every)
+    return cut(ledger.resolved(ledger.prepared(events), every)), every  # resolved once for all kinds of edges
 
 
 @query(_TOLD + """, c AS (
